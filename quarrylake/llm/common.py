@@ -62,6 +62,12 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row: inside higher-order
+    functions Spark evaluates an expression again at each place that names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing
+from . import chat, fingerprints, langid, licenses, mixing, neardup, packing, pii, secrets, topk
 from .common import table
 
 
@@ -22,10 +22,32 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return secrets.digests(rows, pii.KINDS, ["email", "ip", "card", "phone"])
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return secrets.digests(rows, secrets.KINDS, ["assign", "access", "hex"])
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.draws(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
@@ -34,13 +56,47 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    extra = spark.sql(
+        "SELECT -1L conv_id, turn, role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    rows = turns.select("conv_id", "turn", "role", "text").union(extra.select("conv_id", "turn", "role", "text"))
+    # each row is one turn, also where turn numbers repeat
+    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    log = rows.select("conv_id", seq.alias("seq"), seq.alias("msg"), F.lit("message").alias("event"), "role", "text")
+    done = chat.render(chat.fold_events(log)).withColumn("formatted", chat.formatted(F.col("segments")))
+    back = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, 20)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op3_secret_scans": op3_secret_scans,
+    "op4_license_scans": op4_license_scans,
+    "op5_imatch_fingerprints": op5_imatch_fingerprints,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_exact_topk": op9_exact_topk,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
