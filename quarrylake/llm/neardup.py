@@ -8,12 +8,21 @@ estimated from all registers (corrected for chance collisions) and confirmed on
 the full shingle sets.
 
 Skew.  Equal shingle sets are reduced to their smallest doc_id before banding,
-so copies cost one row each and nothing more.  In a band bucket, members are
-first tied to the bucket's smallest member only (a star, linear in the bucket);
-what the stars leave in different components is compared block by block inside
-tasks in a second round, so no link between members of a bucket is lost and no
-bucket is expanded into all of its pairs.  Components come from alternating
-large-star and small-star steps over checkpointed edge tables.
+so copies cost one row each and nothing more.  Links are then looked for in three
+rounds, none of which expands a group into all of its pairs:
+
+1. stars: in a band bucket, members are paired with the bucket's smallest member
+   only; promising pairs are confirmed and give components, and all promising
+   pairs, confirmed or not, give clusters of similar texts;
+2. stragglers: in a cluster of several components, members outside the largest
+   are compared with the other members, in blocks inside tasks that keep the full
+   sets at hand and report one link per pair of components;
+3. leftovers: members of one bucket that lie in different clusters are compared
+   by their registers inside tasks, and promising pairs are confirmed.
+
+So any two members of a bucket are either connected or compared, and no link
+between members of a bucket is lost.  Components come from alternating large-star
+and small-star steps over edge tables in the shared folder.
 
 Recall.  At similarity s a band of 4 registers agrees with probability s**4 and
 one of 32 bands with 1-(1-s**4)**32: over 0.9999999 at 0.8.
@@ -37,9 +46,11 @@ BAND = 4
 MANTISSA_BITS = 10
 #: Members of a bucket that one task compares with each other at once.
 CHUNK = 2048
+#: Members of a cluster whose full texts one task holds at once, on either side.
+TEXT_CHUNK = 256
 #: The estimate has a standard error of 0.036 at 0.8; pairs are dropped unseen
-#: only when it lies this far below the threshold (over five standard errors).
-ESTIMATE_SLACK = 0.2
+#: only when it lies this far below the threshold (over four standard errors).
+ESTIMATE_SLACK = 0.15
 _EMPTY_BAND = "X'" + "00" * (2 * BAND) + "'"
 
 
@@ -129,30 +140,96 @@ def _matrix(column):
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, REGISTERS)
 
 
-def _estimate_pairs(batches, least):
+def _size_fits(n_a, n_b, percent):
+    """A similarity cannot exceed the ratio of the set sizes."""
+    import numpy as np
+
+    return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+
+
+def _estimate_pairs(batches, least, percent):
     import pyarrow as pa
 
     for b in batches:
         if b.num_rows:
             keep = _estimates(_matrix(b.column("sig_a")), _matrix(b.column("sig_b"))) >= least
+            keep &= _size_fits(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _cross_components(frame, least):
-    """Promising pairs of one chunk pair whose members lie in different components."""
+def _leftover_pairs(frame, least, percent):
+    """Promising pairs of buckets (or of two chunks of one) across clusters."""
+    import numpy as np
+    import pandas as pd
+
+    frame = frame.sort_values(["band", "lo", "hi"], kind="stable")
+    sig = np.frombuffer(b"".join(frame["signature"]), ">u2").astype(np.uint16).reshape(-1, REGISTERS)
+    ids, root, size, chunk = (frame[c].to_numpy() for c in ("id", "root", "n_shingles", "chunk"))
+    key = frame[["band", "lo", "hi"]].to_numpy()
+    cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(frame)]
+    todo, found, waiting = [], set(), 0
+
+    def flush():
+        i, j = np.concatenate([x for x, _ in todo]), np.concatenate([y for _, y in todo])
+        ok = _estimates(sig[i], sig[j]) >= least
+        found.update(zip(np.minimum(ids[i], ids[j])[ok].tolist(), np.maximum(ids[i], ids[j])[ok].tolist(), strict=True))
+        todo.clear()
+
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        lo, hi = key[s, 1], key[s, 2]
+        for i in range(s, e):
+            if chunk[i] != lo:
+                continue
+            j = np.arange(i + 1 if lo == hi else s, e)
+            j = j[(chunk[j] == hi) & (root[j] != root[i]) & _size_fits(size[i], size[j], percent)]
+            if len(j):
+                todo.append((np.full(len(j), i), j))
+                waiting += len(j)
+            if waiting > 20_000:
+                flush()
+                waiting = 0
+    if todo:
+        flush()
+    return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+
+
+def _straggler_links(frame, n, least, percent):
+    """Links that connect components of clusters: rows of side 0 (stragglers) against
+    rows of side 1 (all members) of the same cluster and block."""
     import numpy as np
     import pandas as pd
 
-    lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
-    left = frame[frame["chunk"] == lo]
-    right = left if lo == hi else frame[frame["chunk"] == hi]
-    sig = [np.frombuffer(b"".join(f["signature"]), ">u2").reshape(-1, REGISTERS) for f in (left, right)]
-    found = []
-    for i in range(len(left)):
-        other = np.flatnonzero(right["root"].to_numpy() != left["root"].iloc[i])
-        other = other[_estimates(sig[0][i], sig[1][other]) >= least] if len(other) else other
-        found += [tuple(sorted((int(left["id"].iloc[i]), int(right["id"].iloc[j])))) for j in other]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+    links, sets = [], {}
+    for _, g in frame.groupby(["cluster", "lo", "hi"], sort=False):
+        sets.clear()
+        for i, t in zip(g["id"], g["text"], strict=True):
+            if i not in sets:
+                sets[i] = _shingle_hashes(t, n)
+        left, right = g[g["side"] == 0], g[g["side"] == 1]
+        ids, comps = right["id"].to_numpy(), right["root"].tolist()
+        size = np.array([len(sets[i]) for i in ids])
+        sig = np.frombuffer(b"".join(_registers(sets[i]) for i in ids), ">u2").astype(np.uint16).reshape(-1, REGISTERS)
+        parent = {}
+
+        def top(c, parent=parent):
+            while c in parent:
+                c = parent[c]
+            return c
+
+        for i, c in zip(left["id"], left["root"], strict=True):
+            own = sets[i]
+            est = _estimates(sig, np.frombuffer(_registers(own), ">u2").astype(np.uint16))
+            for j in np.argsort(-est, kind="stable"):
+                if est[j] < least:
+                    break
+                x, y = top(c), top(comps[j])
+                if x == y or not _size_fits(len(own), size[j], percent):
+                    continue
+                both = len(np.intersect1d(own, sets[ids[j]], assume_unique=True))
+                if 100 * both >= percent * (len(own) + size[j] - both):
+                    links.append((min(i, ids[j]), max(i, ids[j])))
+                    parent[x] = y
+    return pd.DataFrame(sorted(set(links)), columns=["a", "b"]).astype("int64")
 
 
 def _confirm(batches, n, percent):
@@ -223,11 +300,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """
     docs = docs.select("doc_id", "text")
     signed = stage_table(signatures(docs, shingle_words), "neardup-signed")
-    firsts = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
+    filled = signed.where("n_shingles > 0")
+    firsts = filled.groupBy("set_id").agg(F.min("doc_id").alias("id"))
     sets = (
-        signed.where("n_shingles > 0")
-        .join(firsts.where("id is not null").withColumnRenamed("set_id", "first_set"), F.expr("doc_id = id and set_id = first_set"))
-        .select("id", "signature")
+        filled.join(firsts.where("id is not null").withColumnRenamed("set_id", "first_set"), F.expr("doc_id = id and set_id = first_set"))
+        .select("id", "n_shingles", "signature")
         .dropDuplicates(["id"])
     )
     sets = stage_table(sets, "neardup-sets")
@@ -246,36 +323,37 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     )
     pivots = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = stage_table(bands.join(pivots, "band"), "neardup-bands")  # only buckets that hold more than one set
+
     star = members.where("id > a").select("a", F.col("id").alias("b")).distinct()
-    first_links = _confirmed(_promising(star, sets, least), docs, shingle_words, percent)
-    first_links = stage_table(first_links, "neardup-links")
-    roots = star_components(first_links)
-
-    placed = members.join(roots, "id", "left").select("id", "band", "n", F.coalesce("root", "id").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    open_members = stage_table(placed.join(split, "band"), "neardup-open")
-    crossed = _crossed(open_members, sets, least)
-    crossed = crossed.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more_links = stage_table(_confirmed(crossed, docs, shingle_words, percent), "neardup-links")
-    roots = star_components(first_links.union(more_links)) if not more_links.isEmpty() else roots
+    star = stage_table(_promising(star, sets, least, percent), "neardup-promising")
+    clusters = star_components(star)
+    links = stage_table(_confirmed(star, docs, shingle_words, percent), "neardup-links")
+    roots = star_components(links)
+
+    placed = clusters.withColumnRenamed("root", "cluster").join(roots, "id", "left")
+    placed = stage_table(placed.select("id", "cluster", F.coalesce("root", "id").alias("root")), "neardup-clusters")
+    inside = _stragglers(placed, docs, shingle_words, least, percent)
+    links = links.union(stage_table(inside, "neardup-links"))
+
+    labelled = members.join(placed.select("id", "cluster"), "id", "left").select("band", "id", "n", F.coalesce("cluster", "id").alias("root"))
+    split = labelled.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+    crossed = _leftovers(stage_table(labelled.join(split, "band"), "neardup-open"), sets, least, percent)
+    links = links.union(stage_table(_confirmed(crossed, docs, shingle_words, percent), "neardup-links"))
+    roots = star_components(links)
 
     of_set = firsts.join(roots, "id", "left").select("set_id", F.coalesce("root", "id").alias("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "set_id")
         .join(of_set, "set_id", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-        )
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def _promising(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    sig = sets.select("id", "signature")
-    rows = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _estimate_pairs(it, least), "a long, b long")
+def _promising(pairs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    sig = sets.select("id", "n_shingles", "signature")
+    rows = pairs.join(sig.toDF("a", "n_a", "sig_a"), "a").join(sig.toDF("b", "n_b", "sig_b"), "b")
+    return rows.mapInArrow(lambda it: _estimate_pairs(it, least, percent), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -287,16 +365,33 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     )
 
 
-def _crossed(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Promising pairs across components, bucket by bucket; a bucket of more than
+def _stragglers(placed: DataFrame, docs: DataFrame, n: int, least: float, percent: int) -> DataFrame:
+    """Links found between the members of a cluster outside its largest component and
+    the rest of the cluster."""
+    sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
+    open_ = sizes.where("most.c < all").select(
+        "cluster", F.col("most.root").alias("main"),
+        F.ceil((F.col("all") - F.col("most.c")) / TEXT_CHUNK).cast("int").alias("n_lo"),
+        F.ceil(F.col("all") / TEXT_CHUNK).cast("int").alias("n_hi"),
+    )
+    rows = stage_table(placed.join(open_, "cluster"), "neardup-stragglers")
+    deals = max(1, rows.count() // TEXT_CHUNK)
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    left = F.transform(every("n_hi"), lambda h: F.struct(F.lit(0).alias("side"), own("n_lo").alias("lo"), h.alias("hi")))
+    right = F.transform(every("n_lo"), lambda x: F.struct(F.lit(1).alias("side"), x.alias("lo"), own("n_hi").alias("hi")))
+    sides = F.when(F.col("root") != F.col("main"), F.concat(left, right)).otherwise(right)
+    deal = F.when(F.col("n_hi") > 1, F.xxhash64("cluster", "b.lo", "b.hi")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(deals)))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = rows.join(texts, "id").select("cluster", "id", "root", "text", "n_hi", F.explode(sides).alias("b"))
+    rows = rows.select(deal.alias("deal"), "cluster", "id", "root", "text", "b.side", "b.lo", "b.hi")
+    return rows.groupBy("deal").applyInPandas(lambda f: _straggler_links(f, n, least, percent), "a long, b long").distinct()
+
+
+def _leftovers(members: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Promising pairs across clusters, bucket by bucket; a bucket of more than
     ``CHUNK`` members is compared chunk against chunk in separate groups."""
-
-    def compare(frame):
-        import pandas as pd
-
-        groups = [_cross_components(g, least) for _, g in frame.groupby(["band", "lo", "hi"], sort=False)]
-        return pd.concat(groups) if groups else pd.DataFrame({"a": [], "b": []}).astype("int64")
-
     deals = max(1, members.count() // CHUNK)
     rows = (
         members.join(sets, "id")
@@ -306,11 +401,11 @@ def _crossed(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         .withColumn("lo", F.least("chunk", "other"))
         .withColumn("hi", F.greatest("chunk", "other"))
         # small buckets share groups, so that a group is more than a few rows
-        .withColumn("deal", F.when(F.col("n") > 64, F.xxhash64("band", "lo", "hi")).otherwise(F.pmod(F.xxhash64("band"), F.lit(deals))))
+        .withColumn("deal", F.when(F.col("n") > 256, F.xxhash64("band", "lo", "hi")).otherwise(F.pmod(F.xxhash64("band"), F.lit(deals))))
     )
     return (
-        rows.select("deal", "band", "lo", "hi", "chunk", "id", "root", "signature")
+        rows.select("deal", "band", "lo", "hi", "chunk", "id", "root", "n_shingles", "signature")
         .groupBy("deal")
-        .applyInPandas(compare, "a long, b long")
+        .applyInPandas(lambda f: _leftover_pairs(f, least, percent), "a long, b long")
         .distinct()
     )
