@@ -34,7 +34,10 @@ SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_ROWS = 256
 MAX_BLOCKS = 65536
-SHARDS = 16
+#: Output shards hold about so many words; the tree has 16 to 1024 of them, and
+#: larger corpora cut each shard into parts by hash.
+SHARD_WORDS = 32_000_000
+MIN_SHARDS, MAX_SHARDS = 16, 1024
 SEED = 20240601
 #: The plan has one row per source; up to so many it is broadcast.
 BROADCAST_SOURCES = 10_000
@@ -121,9 +124,10 @@ def _with_source(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
     return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
-def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT, shards: int = SHARDS, seed: int = SEED, carry: bool = False) -> DataFrame:
+def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT, shards: int | None = None, seed: int = SEED, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target and
-    ``draws``, an array of (words to take from the start, shard, place in the shard).
+    ``draws``, an array of (words to take from the start, shard, part of the shard,
+    place in it).
 
     ``carry`` adds the document itself as the struct column ``doc``.
     """
@@ -155,6 +159,9 @@ def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int =
     # quotas in draws: every block once per pass, then the blocks of the rest
     counted = blocks.groupBy("of_source").agg(F.count("*").alias("all"), F.count_if(F.col("quota") > 0).alias("part")).collect()
     n_blocks = {r["of_source"]: (r["all"], r["part"]) for r in counted}
+    words = share * sum(r[1] for r in recipe)
+    shards = shards or int(min(MAX_SHARDS, max(MIN_SHARDS, words // SHARD_WORDS)))
+    parts = max(1, int(words // (shards * SHARD_WORDS)))
     quotas = [r[3] * n_blocks[r[0]][0] + n_blocks[r[0]][1] for r in recipe]
     owners, used = [[] for _ in recipe], [0] * len(recipe)
     for shard, counts in enumerate(split_quotas(quotas, shards, seed)):
@@ -184,6 +191,7 @@ def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int =
         F.filter(each, lambda d: d["words"] > 0),
         lambda d: F.struct(
             d["words"].alias("words"), shard(d).alias("shard"),
+            F.pmod(F.xxhash64("doc_id", "tie", d["draw"], F.lit(seed + 4)), F.lit(parts)).cast("int").alias("part"),
             F.xxhash64("doc_id", "tie", d["draw"], F.lit(seed + 3)).alias("place"),
         ),
     )
@@ -195,8 +203,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     output shards and ordered at random inside each; a document that is cut keeps
     the words taken from its start (and n_chars follows its text)."""
     rows = draws(docs, carry=True, **options).select("size", "doc", F.explode("draws").alias("d"))
+    # possessive, so that Java matches any number of words without recursion
+    first_words = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("d.words").cast("string"), F.lit("}+"))
     kept = F.when(F.col("d.words") >= F.col("size"), F.col("doc.text")).otherwise(
-        F.regexp_extract("doc.text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("d.words"), F.lit("}")), 0)
+        F.call_function("regexp_extract", F.col("doc.text"), first_words, F.lit(0))
     )
     rows = rows.select("d", "doc", kept.alias("kept"))
     columns = [
@@ -205,4 +215,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         else F.col("doc")[c].alias(c)
         for c in docs.columns
     ]
-    return rows.repartition("d.shard").sortWithinPartitions("d.shard", "d.place").select(*columns)
+    return rows.repartition("d.shard", "d.part").sortWithinPartitions("d.shard", "d.part", "d.place").select(*columns)
