@@ -32,7 +32,7 @@ from .common import let
 
 IDF_LOW, IDF_HIGH = 3.0, 9.0
 SLOTS = 1 << 15
-LEVELS, GROUPS, DIGITS = 12, 4, 6
+LEVELS, GROUPS, DIGITS = 12, 8, 4
 FIELDS = LEVELS * GROUPS
 EMPTY = "-" * DIGITS
 NOT_TERM = r"[^\p{L}\p{N}]+"

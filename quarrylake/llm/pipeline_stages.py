@@ -38,8 +38,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates: the document with the smallest id of each class stays, once."""
     classes = neardup.near_duplicates(docs, shingle_words=5, percent=80)
-    kept = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    once = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(docs.where("doc_id is null"))
 
 
