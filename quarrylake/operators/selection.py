@@ -53,6 +53,8 @@ class Dim:
     def output(self, i: Column) -> Column:
         """Position of index ``i`` in the selected extent."""
         at = i - F.lit(self.start)
+        if self.count == 1:
+            return at
         return F.floor(at / self.stride).cast("long") * self.block + at % self.stride
 
 

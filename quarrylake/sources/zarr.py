@@ -47,9 +47,8 @@ def parse_v2(text: str) -> ArrayMeta:
     if m.get("zarr_format") != 2:
         raise InvalidFormat("not version 2")
     # filters run before the compressor
-    steps = [{**f, "name": f["id"]} for f in m.get("filters") or []]
-    if m.get("compressor"):
-        steps.append({**m["compressor"], "name": m["compressor"]["id"]})
+    found = [*(m.get("filters") or []), *([m["compressor"]] if m.get("compressor") else [])]
+    steps = [{"name": f["id"], **{k: v for k, v in f.items() if k != "id"}} for f in found]
     return ArrayMeta(2, tuple(m["shape"]), tuple(m["chunks"]), m["dtype"], m.get("fill_value"), m.get("order", "C"), m.get("dimension_separator", "."), tuple(steps))
 
 
