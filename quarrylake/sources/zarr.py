@@ -36,6 +36,10 @@ class ArrayMeta:
     order: str = "C"
     separator: str = "/"
     steps: tuple[dict, ...] = field(default=())
+    #: Shape of the inner chunks where one object (shard) holds several; ``chunk`` is then
+    #: the shard's shape and ``steps`` are the inner chunks'.
+    inner: tuple[int, ...] | None = None
+    index_checksum: bool = False
 
     @property
     def coords(self) -> list[str]:
@@ -56,8 +60,15 @@ def parse_v3(text: str) -> ArrayMeta:
     m = json.loads(text)
     if m.get("zarr_format") != 3 or m.get("node_type") != "array":
         raise InvalidFormat("not a version 3 array")
-    dtype, steps, order = dtypes.parse(m["data_type"])[0], [], "C"
-    for c in m.get("codecs", []):
+    dtype, steps, order, inner, checksum = dtypes.parse(m["data_type"])[0], [], "C", None, False
+    listed = m.get("codecs", [])
+    if any(c["name"] == "sharding_indexed" for c in listed):
+        if len(listed) != 1 or listed[0]["configuration"].get("index_location", "end") != "end":
+            raise UnsupportedFeature("codecs around shards, or an index at the start")
+        conf = listed[0]["configuration"]
+        inner, listed = tuple(conf["chunk_shape"]), conf.get("codecs", [])
+        checksum = any(c["name"] == "crc32c" for c in conf.get("index_codecs", []))
+    for c in listed:
         name, conf = c["name"], c.get("configuration", {})
         if name == "bytes":
             endian = conf.get("endian", "little")
@@ -69,14 +80,12 @@ def parse_v3(text: str) -> ArrayMeta:
                 order = "F"
             elif list(conf["order"]) != list(range(len(m["shape"]))):
                 raise UnsupportedFeature("general transpose")
-        elif name == "sharding_indexed":
-            raise UnsupportedFeature("sharded arrays")
         else:
             steps.append({**conf, "name": name})
     key = m.get("chunk_key_encoding", {"name": "default"})
     separator = key.get("configuration", {}).get("separator", "/" if key["name"] == "default" else ".")
     version = 3 if key["name"] == "default" else 2
-    return ArrayMeta(version, tuple(m["shape"]), tuple(m["chunk_grid"]["configuration"]["chunk_shape"]), dtype, m.get("fill_value"), order, separator, tuple(steps))
+    return ArrayMeta(version, tuple(m["shape"]), tuple(m["chunk_grid"]["configuration"]["chunk_shape"]), dtype, m.get("fill_value"), order, separator, tuple(steps), inner, checksum)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -125,20 +134,44 @@ def _fill(meta: ArrayMeta):
     return 0 if value is None else value
 
 
+def _block(raw, meta, shape, edge):
+    """Values of one stored chunk; chunks at the edge are whole, or clipped by some writers."""
+    import numpy as np
+
+    kind = np.dtype(meta.dtype)
+    values = np.frombuffer(codecs.apply(raw, list(meta.steps), False, prod(shape) * kind.itemsize), kind)
+    return values.reshape(shape if len(values) == prod(shape) else edge, order=meta.order)
+
+
+def _shard(raw, meta):
+    """Values of one shard: inner chunks found by the (offset, length) pairs at its end,
+    where all ones mean that a chunk is not stored."""
+    import numpy as np
+
+    n = [s // c for s, c in zip(meta.chunk, meta.inner, strict=True)]
+    tail = 16 * prod(n) + 4 * meta.index_checksum
+    index = raw[-tail:]
+    if meta.index_checksum:
+        index = codecs.apply(index, [{"name": "crc32c"}], False)
+    pairs = np.frombuffer(index, "<u8").reshape(-1, 2)
+    out = np.full(meta.chunk, _fill(meta), np.dtype(meta.dtype))
+    for k, (at, length) in enumerate(pairs.tolist()):
+        if at != 2**64 - 1:
+            place = np.unravel_index(k, n)
+            out[tuple(slice(p * c, (p + 1) * c) for p, c in zip(place, meta.inner, strict=True))] = _block(raw[at : at + length], meta, meta.inner, meta.inner)
+    return out
+
+
 def _decode(batches, meta, known):
     import numpy as np
     import pyarrow as pa
 
-    size = prod(meta.chunk)
     kind = np.dtype(meta.dtype)
     for b in batches:
         for row in b.to_pylist():
-            raw = codecs.apply(bytes(row["content"]), list(meta.steps), False, size * kind.itemsize)
-            values = np.frombuffer(raw, kind)
             edge = [row[f"e{k}"] for k in range(len(meta.chunk))]
-            # chunks at the edge are stored whole, or clipped by some writers
-            extent = meta.chunk if len(values) == size else edge
-            block = values.reshape(extent, order=meta.order)[tuple(slice(0, e) for e in edge)]
+            raw = bytes(row["content"])
+            block = (_shard(raw, meta) if meta.inner else _block(raw, meta, meta.chunk, edge))[tuple(slice(0, e) for e in edge)]
             at = np.indices(edge).reshape(len(edge), -1)
             cols = [pa.array(at[k] + row[f"o{k}"], pa.int64()) for k in range(len(edge))]
             data = block.reshape(-1).astype(kind.newbyteorder("="))
@@ -196,10 +229,14 @@ def _metadata_json(meta: ArrayMeta) -> tuple[str, str]:
     order = [{"name": "transpose", "configuration": {"order": list(range(len(meta.shape)))[::-1]}}] if meta.order == "F" else []
     steps = [{"name": s["name"], "configuration": {k: v for k, v in s.items() if k != "name"}} for s in meta.steps]
     endian = {"name": "bytes", "configuration": {"endian": "big" if meta.dtype[0] == ">" else "little"}}
+    listed = [*order, endian, *steps]
+    if meta.inner:
+        index = [{"name": "bytes", "configuration": {"endian": "little"}}, *([{"name": "crc32c"}] if meta.index_checksum else [])]
+        listed = [{"name": "sharding_indexed", "configuration": {"chunk_shape": list(meta.inner), "codecs": listed, "index_codecs": index, "index_location": "end"}}]
     return "zarr.json", json.dumps({
         "zarr_format": 3, "node_type": "array", "shape": list(meta.shape), "data_type": name, "fill_value": meta.fill,
         "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(meta.chunk)}},
-        "chunk_key_encoding": {"name": "default", "configuration": {"separator": meta.separator}}, "codecs": [*order, endian, *steps], "attributes": {},
+        "chunk_key_encoding": {"name": "default", "configuration": {"separator": meta.separator}}, "codecs": listed, "attributes": {},
     })
 
 
@@ -209,9 +246,25 @@ def _encode(frame, meta):
     values = np.full(meta.chunk, _fill(meta), np.dtype(meta.dtype))
     at = tuple(frame[f"p{k}"].to_numpy() for k in range(len(meta.chunk)))
     values[at] = frame["value"].to_numpy()
+    if meta.inner:
+        return _encode_shard(values, meta)
     return codecs.apply(values.tobytes(order=meta.order), list(meta.steps), True)
 
 
+def _encode_shard(values, meta):
+    import numpy as np
+
+    n = [s // c for s, c in zip(meta.chunk, meta.inner, strict=True)]
+    body, pairs = b"", []
+    for place in np.ndindex(*n):
+        part = values[tuple(slice(p * c, (p + 1) * c) for p, c in zip(place, meta.inner, strict=True))]
+        data = codecs.apply(part.tobytes(order=meta.order), list(meta.steps), True)
+        pairs.append((len(body), len(data)))
+        body += data
+    index = np.array(pairs, "<u8").tobytes()
+    return body + (codecs.apply(index, [{"name": "crc32c"}], True) if meta.index_checksum else index)
+
+
 def encode_chunks(df: DataFrame, meta: ArrayMeta) -> DataFrame:
     """One row (key, content) per chunk that has at least one element.
 
@@ -259,6 +312,8 @@ def update_selection(spark: SparkSession, path: str, patch: DataFrame, shape: Se
     """Read-modify-write: the stored elements of the chunks that ``patch`` touches, with
     the patch's values where it has any.  Hand the result to ``write_array``."""
     meta = read_meta(spark, path)
+    if meta.inner:
+        raise UnsupportedFeature("partial writes into shards")
     old = read_array(spark, path)
     new = patch.select(*meta.coords, F.col("value").alias("_new"))
     touched = grid.of_elements(patch, meta.coords, meta.chunk).select(*[f"c{k}" for k in range(len(meta.shape))]).distinct()

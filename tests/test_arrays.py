@@ -164,6 +164,19 @@ def test_partial_write(spark, tmp_path):
         zarr.read_meta(spark, str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize("checksum", [False, True])
+def test_shards(spark, tmp_path, checksum):
+    df = spark.range(70).select(F.floor(F.col("id") / 10).alias("i0"), (F.col("id") % 10).alias("i1"), F.col("id").cast("int").alias("value"))
+    meta = zarr.ArrayMeta(3, (7, 10), (4, 6), "<i4", 0, "C", "/", ({"name": "zstd"},), (2, 3), checksum)
+    zarr.write_array(df, str(tmp_path / "a"), meta)
+    assert zarr.read_meta(spark, str(tmp_path / "a")) == meta
+    slab = Hyperslab((Dim(1, 2, 3), Dim(5, 1, 4)))
+    got = zarr.read_array(spark, str(tmp_path / "a"), slab).orderBy("i0", "i1").collect()
+    assert [r.value for r in got] == np.arange(70).reshape(7, 10)[1:7:2, 5:9].ravel().tolist()
+    with pytest.raises(errors.UnsupportedFeature):
+        zarr.update_selection(spark, str(tmp_path / "a"), df)
+
+
 def test_consolidated_metadata():
     v2 = json.dumps({"metadata": {".zgroup": {}, "a/.zarray": {"shape": [1]}, "a/.zattrs": {}}})
     assert {p: x["kind"] for p, x in zarr.consolidated(v2).items()} == {"/": "group", "/a": "array"}
