@@ -1,6 +1,7 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed character 1- to 3-grams of the whole lower-cased text, with
+Features are hashed character 1- to 3-grams of the whole lower-cased text (runs of
+other characters than letters are one space), with
 log counts and inverse document frequencies over all training rows.  The model is
 trained by follow-the-regularised-leader with proximal L1 and L2 penalties
 (elastic net), which keeps most weights at zero, and its scores are calibrated
@@ -25,18 +26,27 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 1000
+#: A model tells the most frequent languages of the training rows apart, up to so many.
 MAX_LANGUAGES = 500
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
+#: One row in so many of the sample is left out of training and fits the temperature.
 CALIBRATION_SHARE = 5
 SEED = 11
 
 
 def gram_counts(text):
-    """Hashed n-gram counts of one text as (buckets, counts)."""
+    """Hashed n-gram counts of one text as (buckets, counts).
+
+    Runs of anything but letters count as one space, as digits and symbols say nothing
+    about a language.
+    """
+    import re
+
     import numpy as np
 
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    text = re.sub(r"[\W\d_]+", " ", text.lower())
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     parts = []
     with np.errstate(over="ignore"):
         for n in ORDERS:
@@ -149,15 +159,13 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict |
     import numpy as np
 
     training = training.where("text is not null and lang is not null")
-    langs = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not langs:
         return None
     names = sorted(langs)
     spread = (F.pmod(F.xxhash64("key", F.xxhash64("text"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30))
     rate = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    part = training.withColumn("u", spread).where(F.col("u") < rate[F.col("lang")])
+    part = training.where(F.col("lang").isin(names)).withColumn("u", spread).where(F.col("u") < rate[F.col("lang")])
     part = part.withColumn("calibrate", F.pmod(F.xxhash64("key", "text", F.lit(SEED + 1)), F.lit(CALIBRATION_SHARE)) == 0)
     sample = part.select("text", "lang", "calibrate").mapInArrow(_features, "lang string, calibrate boolean, buckets binary, counts binary").collect()
     counted = training.select("text").mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()

@@ -13,8 +13,9 @@ from . import langid, mixing, neardup, packing, secrets
 from .common import stage_table
 from .queries import tokenizer_path
 
-#: A document goes when its language is unknown or less likely than this.
-LEAST_SCORE = 0.5
+#: A document goes when its language is unknown or less likely than this; texts that
+#: mix two languages stay.
+LEAST_SCORE = 0.3
 
 
 def hand_over(df: DataFrame, name: str) -> DataFrame:
