@@ -80,6 +80,30 @@ def fits_ascii_text(field: Column) -> Column:
     return F.rtrim(field)
 
 
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[EeDd][+-]?[0-9]+)?"
+
+
+def header_integer(value: Column) -> Column:
+    """Integer of a header value; null if it is none."""
+    return F.when(F.trim(value).rlike("^[+-]?[0-9]+$"), F.trim(value).try_cast("long"))
+
+
+def header_float(value: Column) -> Column:
+    """Real number of a header value, ``D`` exponents included."""
+    return F.when(F.trim(value).rlike(f"^{_NUMBER}$"), F.regexp_replace(F.upper(F.trim(value)), "D", "E").try_cast("double"))
+
+
+def header_complex(value: Column) -> Column:
+    """struct<re, im> of a value like ``(1.5, -2)``."""
+    pair = rf"^\(\s*({_NUMBER})\s*,\s*({_NUMBER})\s*\)$"
+    part = lambda k: header_float(F.regexp_extract(F.trim(value), pair, k))
+    return F.when(F.trim(value).rlike(pair), F.struct(part(1).alias("re"), part(2).alias("im")))
+
+
+def header_logical(value: Column) -> Column:
+    return F.when(F.trim(value) == "T", F.lit(True)).when(F.trim(value) == "F", F.lit(False))
+
+
 def sample_time(explicit: Column, start: Column, rate: Column, i: Column) -> Column:
     """Time of sample ``i``: its explicit timestamp, else ``start + i / rate``."""
     return F.coalesce(explicit, start + i / rate)

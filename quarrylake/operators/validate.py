@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import iso8601_valid
+from ..functions.scalars import header_integer, iso8601_valid
 
 # What a session file must have.
 SESSION_ATTRIBUTES = ["identifier", "session_description", "session_start_time"]
@@ -91,6 +91,42 @@ def dimension_model(dimensions: DataFrame, bindings: DataFrame) -> DataFrame:
     )
 
 
+def header_cards(cards: DataFrame) -> DataFrame:
+    """Units whose header breaks the rules: ``cards(file, hdu, ord, keyword, value)``.
+
+    The first card of unit 0 is SIMPLE, of later units XTENSION; BITPIX is a known code;
+    NAXIS is 0 to 999 and each of its axes has a card; END closes the header.
+    """
+    value = header_integer(F.col("value"))
+    unit = cards.groupBy("file", "hdu").agg(
+        F.min_by("keyword", "ord").alias("first"),
+        F.max_by("keyword", "ord").alias("last"),
+        F.max(F.when(F.col("keyword") == "BITPIX", value)).alias("bitpix"),
+        F.max(F.when(F.col("keyword") == "NAXIS", value)).alias("naxis"),
+        F.count_if(F.col("keyword").rlike("^NAXIS[1-9][0-9]*$")).alias("axes"),
+    )
+    path = F.concat(F.col("file"), F.lit("#"), F.col("hdu").cast("string"))
+    begin = F.when(F.col("hdu") == 0, "SIMPLE").otherwise("XTENSION")
+    return (
+        _violation(unit.where(F.col("first") != begin), path, "first_card", F.col("first"))
+        .union(_violation(unit.where("last <> 'END'"), path, "no_end", F.col("last")))
+        .union(_violation(unit.where(F.col("bitpix").isNull() | ~F.col("bitpix").isin(8, 16, 32, 64, -32, -64)), path, "bitpix", F.col("bitpix")))
+        .union(_violation(unit.where("naxis is null or naxis < 0 or naxis > 999"), path, "naxis", F.col("naxis")))
+        .union(_violation(unit.where("naxis between 0 and 999 and axes <> naxis"), path, "axes", F.col("axes")))
+    )
+
+
+def row_groups(facts: DataFrame) -> DataFrame:
+    """Row groups that are empty or whose flat columns differ from their row count:
+    ``facts(file, row_group, column, rows, values)``."""
+    path = F.concat(F.col("file"), F.lit("#"), F.col("row_group").cast("string"))
+    flat = facts.where(~F.col("column").contains("."))
+    empty = facts.where("rows <= 0").select("file", "row_group").distinct()
+    return _violation(empty, path, "empty_row_group", F.col("row_group")).union(
+        _violation(flat.where("values <> rows"), path, "chunk_rows", F.col("column"))
+    )
+
+
 def equal_lengths(columns: DataFrame) -> DataFrame:
     """Tables whose columns differ in length: ``columns(table, column, n)``."""
     spread = columns.groupBy("table").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo <> hi")

@@ -461,6 +461,37 @@ def table_invariants(spark, sf_dir):
     return ragged.index_violations(broken, "o_custkey", "end", table(spark, sf_dir, "orders").count())
 
 
+_HEADERS = "('f',0,0,'SIMPLE','T'),('f',0,1,'BITPIX','8'),('f',0,2,'NAXIS','0'),('f',0,3,'END',NULL),('f',1,0,'XTENSION','BINTABLE'),('f',1,1,'BITPIX','7'),('f',1,2,'NAXIS','2'),('f',1,3,'NAXIS1','4'),('f',1,4,'END',NULL),('g',0,0,'BITPIX','16'),('g',0,1,'NAXIS','0')"
+
+
+@query(
+    """SELECT * FROM (VALUES ('f#1', 'bitpix', '7'), ('f#1', 'axes', '1'), ('g#0', 'first_card', 'BITPIX'), ('g#0', 'no_end', 'NAXIS')) AS t(path, kind, detail)"""
+)
+def fits_header_violations(spark, sf_dir):
+    return validate.header_cards(spark.sql(f"SELECT * FROM VALUES {_HEADERS} AS t(file, hdu, ord, keyword, value)"))
+
+
+_VALUES = "('42'),('-1.5D2'),('(1.5, -2)'),('T'),('abc'),('')"
+
+
+@query(
+    """SELECT * FROM (VALUES ('42', 42::BIGINT, 42.0::DOUBLE, NULL::DOUBLE, NULL::BOOLEAN), ('-1.5D2', NULL, -150.0, NULL, NULL), ('(1.5, -2)', NULL, NULL, -2.0, NULL),
+         ('T', NULL, NULL, NULL, TRUE), ('abc', NULL, NULL, NULL, NULL), ('', NULL, NULL, NULL, NULL)) AS t(s, i, f, im, b)"""
+)
+def fits_header_values(spark, sf_dir):
+    s = F.col("s")
+    rows = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS t(s)")
+    return rows.select("s", scalars.header_integer(s).alias("i"), scalars.header_float(s).alias("f"), scalars.header_complex(s)["im"].alias("im"), scalars.header_logical(s).alias("b"))
+
+
+@query("SELECT 0::BIGINT AS violations, count(*) AS n_rows FROM lineitem")
+def parquet_row_group_checks(spark, sf_dir):
+    facts = files.parquet_facts(spark, f"{sf_dir}/lineitem.parquet")
+    bad = validate.row_groups(facts).groupBy().agg(F.count("*").alias("violations"))
+    total = facts.where(F.col("column") == "l_orderkey").agg(F.sum("rows").alias("n_rows"))
+    return bad.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 # --- stores and codecs ------------------------------------------------------
 
 

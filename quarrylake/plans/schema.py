@@ -161,6 +161,14 @@ def field_compatibility(a: T.StructField, b: T.StructField) -> str:
     return "compatible" if verdict == "exact" and a.nullable == b.nullable else "requires_evolution"
 
 
+def pairs(schema: T.StructType) -> list[tuple[str, str, str]]:
+    """(name, type, repetition) of the top-level fields."""
+    return [
+        (f.name, f.dataType.simpleString(), "repeated" if isinstance(f.dataType, T.ArrayType) else "optional" if f.nullable else "required")
+        for f in schema
+    ]
+
+
 def counts(schema: T.StructType) -> dict[str, int]:
     """Numbers of top-level, nullable, nested and all descendant fields."""
 

@@ -47,6 +47,35 @@ def read_npy(spark: SparkSession, path: str, dtype: str, ndim: int) -> DataFrame
     return files.mapInArrow(decode, "file string, " + "".join(f"{c} long, " for c in coords) + f"value {value}")
 
 
+def read_npz(spark: SparkSession, path: str, name: str, dtype: str, ndim: int) -> DataFrame:
+    """Rows (file, i0..iN, value) of one named array of NPZ archives; archives without it
+    give no rows."""
+    value = dtypes.parse(dtype)[1].simpleString()
+    coords = [f"i{k}" for k in range(ndim)]
+
+    def decode(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for row in b.to_pylist():
+                with np.load(io.BytesIO(bytes(row["content"])), allow_pickle=False) as z:
+                    if name not in z.files:
+                        continue
+                    a = z[name]
+                if a.dtype.str != dtype or a.ndim != ndim:
+                    raise InvalidFormat(f"{row['path']}: {a.dtype.str} of rank {a.ndim}")
+                at = np.indices(a.shape).reshape(ndim, -1)
+                names = pa.array([row["path"]] * a.size, pa.string())
+                values = pa.array(np.ascontiguousarray(a).reshape(-1))
+                yield pa.RecordBatch.from_arrays([names, *[pa.array(at[k], pa.int64()) for k in range(ndim)], values], ["file", *coords, "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    return files.mapInArrow(decode, "file string, " + "".join(f"{c} long, " for c in coords) + f"value {value}")
+
+
 def npy_bytes(frame, shape, dtype):
     """NPY content (row-major) of long-form rows held in pandas."""
     import io

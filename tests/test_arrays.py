@@ -203,3 +203,22 @@ def test_npy(spark, tmp_path):
     assert len(got) == 24 and all(r.value == a[r.i0, r.i1] for r in got)
     with pytest.raises(errors.UnsupportedFeature):
         files.read_npy(spark, str(tmp_path), "<i2", 2)
+
+
+def test_npz(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", x=np.arange(4.0), y=np.arange(3, dtype="i4"))
+    np.savez(tmp_path / "b.npz", y=np.arange(2, dtype="i4"))
+    assert sorted(r.value for r in files.read_npz(spark, str(tmp_path), "y", "<i4", 1).collect()) == [0, 0, 1, 1, 2]
+    assert files.read_npz(spark, str(tmp_path), "x", "<f8", 1).count() == 4
+
+
+def test_open_dataset(spark, tmp_path):
+    from quarrylake.plans.facade import open_dataset
+
+    np.save(tmp_path / "a.npy", np.arange(12.0).reshape(3, 4))
+    slab = Hyperslab.contiguous([1, 2], [2, 2])
+    assert sorted(r.value for r in open_dataset(spark, str(tmp_path / "a.npy"), dtype="<f8", shape=(3, 4)).read(slab).collect()) == [6, 7, 10, 11]
+    spark.range(9).withColumnRenamed("id", "row").write.parquet(str(tmp_path / "t.parquet"))
+    assert open_dataset(spark, str(tmp_path / "t.parquet")).read(Hyperslab.contiguous([2], [3])).count() == 3
+    with pytest.raises(errors.UnsupportedFeature):
+        open_dataset(spark, "x", kind="hdf5")
