@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, scalars
@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vectors(spark, sf_dir) -> int:
+    """Extent of the vector dimension."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or -1) + 1
+
+
 def _embeddings(spark, sf_dir, columns: Dim | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return matrix_elements(rows, "vec_id", "embedding", columns)
@@ -124,22 +129,22 @@ def chunk_prune(spark, sf_dir):
 
 @query(
     """SELECT vec_id AS i0, p AS i1, CASE WHEN (vec_id // 50 + p // 16) % 3 = 0 THEN -1::FLOAT ELSE embedding[p + 1] END AS value
-       FROM embeddings, (SELECT unnest(range(0, 64)) AS p) WHERE vec_id < 500"""
+       FROM embeddings, (SELECT unnest(range(0, 64)) AS p)"""
 )
 def chunk_fill_missing(spark, sf_dir):
-    df = _embeddings(spark, sf_dir).where("i0 < 500").withColumn("i1", F.col("i1").cast("long"))
+    df = _embeddings(spark, sf_dir).withColumn("i1", F.col("i1").cast("long"))
     stored = chunks.of_elements(df, ["i0", "i1"], [50, 16]).where("(c0 + c1) % 3 <> 0")
-    return chunks.fill_missing(stored, spark, [500, 64], ["i0", "i1"], "value", -1.0)
+    return chunks.fill_missing(stored, spark, [_vectors(spark, sf_dir), 64], ["i0", "i1"], "value", -1.0)
 
 
 @query(
-    """SELECT DISTINCT vec_id // 50 AS c0, p // 16 AS c1, (vec_id // 50) * 4 + p // 16 AS linear FROM embeddings, (SELECT unnest([1, 17, 33]) AS p)
-       WHERE vec_id % 100 = 7 AND vec_id < 500"""
+    """SELECT DISTINCT vec_id // 50 AS c0, p // 16 AS c1, (vec_id // 50) * 4 + p // 16 AS linear FROM embeddings, (SELECT unnest([1, 17, 33]) AS p)"""
 )
 def points_to_chunks(spark, sf_dir):
-    df = _embeddings(spark, sf_dir, Dim(1, 16, 3, 1)).where("i0 % 100 = 7 and i0 < 500")
+    df = _embeddings(spark, sf_dir, Dim(1, 16, 3, 1))
     at = chunks.of_elements(df, ["i0", "i1"], [50, 16])
-    return at.select("c0", "c1", chunks.linear([F.col("c0"), F.col("c1")], [10, 4]).alias("linear")).distinct()
+    grid = chunks.grid_shape([_vectors(spark, sf_dir), 64], [50, 16])
+    return at.select("c0", "c1", chunks.linear([F.col("c0"), F.col("c1")], grid).alias("linear")).distinct()
 
 
 @query(
@@ -165,13 +170,13 @@ def chunk_keys(spark, sf_dir):
 
 
 @query(
-    """SELECT i AS i0, coalesce(label, -9) AS value FROM (SELECT unnest(range(0, 700)) AS i)
-       LEFT JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id < 500) ON vec_id = i"""
+    """SELECT i AS i0, coalesce(label, -9) AS value FROM (SELECT unnest(range(0, (SELECT max(vec_id) + 201 FROM embeddings))) AS i)
+       LEFT JOIN embeddings ON vec_id = i"""
 )
 def unlimited_append_fill(spark, sf_dir):
-    shape = chunks.resize([500], [True], [700])
-    df = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("i0"), F.col("label").alias("value"))
-    return chunks.fill_missing(df, spark, shape, ["i0"], "value", -9)
+    n = _vectors(spark, sf_dir)
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i0"), F.col("label").alias("value"))
+    return chunks.fill_missing(df, spark, chunks.resize([n], [True], [n + 200]), ["i0"], "value", -9)
 
 
 @query("SELECT vec_id, CASE WHEN 60 + 3 <= len(embedding) THEN embedding[61:63] END AS head, NULL::FLOAT[] AS beyond FROM embeddings")
@@ -280,16 +285,10 @@ def dremel_levels(spark, sf_dir):
     return ragged.levels(lists.select("conv_id", v.alias("v")), "conv_id", "v")
 
 
-@query(
-    """SELECT l_linenumber AS "row", o AS col, l_quantity AS value FROM lineitem
-       JOIN (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_orderkey) - 1 AS o FROM lineitem GROUP BY l_orderkey) ON k = l_orderkey
-       WHERE o < 200"""
-)
+@query("""SELECT l_linenumber AS "row", l_orderkey AS col, l_quantity AS value FROM lineitem""")
 def csc_to_coo(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    keys = lines.select("l_orderkey").distinct().orderBy("l_orderkey").limit(200)
-    first = keys.withColumn("col", F.row_number().over(Window.orderBy("l_orderkey")) - 1)
-    lists = lines.join(first, "l_orderkey").groupBy("col").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("v"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("col"), "l_linenumber", "l_quantity")
+    lists = lines.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("v"))
     entries = ragged.flat_positions(lists, "col", "v").select("pos", F.col("value.l_linenumber").alias("row"), F.col("value.l_quantity").alias("value"))
     return ragged.csc_to_coo(ragged.encode(lists, "col", "v"), entries)
 
@@ -501,21 +500,20 @@ def _scratch(spark) -> str:
     return f"{root}/{tempfile.mktemp(prefix='array-', dir='')}"
 
 
-@query("SELECT vec_id AS i0, p AS i1, embedding[p + 1] AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS p) WHERE vec_id < 500 AND vec_id % 7 < 3 AND vec_id < 494 AND p >= 5 AND p < 45")
+@query("SELECT vec_id AS i0, p AS i1, embedding[p + 1] AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS p) WHERE vec_id % 7 < 3 AND p >= 5 AND p < 45")
 def zarr_roundtrip(spark, sf_dir):
-    df = _embeddings(spark, sf_dir).where("i0 < 500").withColumn("i1", F.col("i1").cast("long"))
-    path = _scratch(spark)
-    zarr.write_array(df, path, zarr.ArrayMeta(3, (500, 64), (128, 24), "<f4", 0.0, steps=({"name": "zstd"},)))
-    return zarr.read_array(spark, path, Hyperslab((Dim(0, 7, 71, 3), Dim(5, 1, 40, 1)))).where("i0 < 494")
+    n = _vectors(spark, sf_dir)
+    df, path = _embeddings(spark, sf_dir).withColumn("i1", F.col("i1").cast("long")), _scratch(spark)
+    zarr.write_array(df, path, zarr.ArrayMeta(3, (n + 7, 64), (128, 24), "<f4", "NaN", steps=({"name": "zstd"},)))
+    slab = Hyperslab((Dim(0, 7, n // 7 + 1, 3), Dim(5, 1, 40, 1)))
+    return zarr.read_array(spark, path, slab).where(F.col("i0") < n)
 
 
-@query(
-    """SELECT vec_id AS i0, CASE WHEN vec_id // 64 = 2 THEN -1 ELSE label END AS value FROM embeddings WHERE vec_id < 500"""
-)
+@query("SELECT vec_id AS i0, CASE WHEN vec_id // 64 % 3 = 2 THEN -1 ELSE label END AS value FROM embeddings")
 def zarr_missing_chunks(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").where("vec_id < 500 and vec_id div 64 <> 2").select(F.col("vec_id").alias("i0"), F.col("label").alias("value"))
-    path = _scratch(spark)
-    zarr.write_array(df, path, zarr.ArrayMeta(2, (500,), (64,), ">i4", -1, separator=".", steps=({"name": "shuffle", "elementsize": 4}, {"name": "zlib"})))
+    n, path = _vectors(spark, sf_dir), _scratch(spark)
+    df = table(spark, sf_dir, "embeddings").where("vec_id div 64 % 3 <> 2").select(F.col("vec_id").alias("i0"), F.col("label").alias("value"))
+    zarr.write_array(df, path, zarr.ArrayMeta(2, (n,), (64,), ">i4", -1, separator=".", steps=({"name": "shuffle", "elementsize": 4}, {"name": "zlib"})))
     return zarr.read_array(spark, path)
 
 
@@ -542,10 +540,10 @@ def checksum_vectors(spark, sf_dir):
     return rows.select("s", *[codecs.checksum(s, k).alias(k) for k in ("crc32", "crc32c", "fletcher32")])
 
 
-@query("SELECT vec_id AS i0, label::DOUBLE AS value FROM embeddings WHERE vec_id < 500")
+@query("SELECT vec_id AS i0, label::DOUBLE AS value FROM embeddings")
 def npy_roundtrip(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("i0"), F.col("label").cast("double").alias("value"))
-    path = _scratch(spark)
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("double").alias("value"))
+    rows, path = df.select(F.floor(F.col("i") / 256).alias("part"), (F.col("i") % 256).alias("i0"), "value"), _scratch(spark)
 
     def put(frame):
         import os
@@ -553,12 +551,13 @@ def npy_roundtrip(spark, sf_dir):
         import pandas as pd
 
         os.makedirs(path, exist_ok=True)
-        with open(f"{path}/part.npy", "wb") as f:
-            f.write(files.npy_bytes(frame, (500,), "<f8"))
+        with open(f"{path}/part-{frame['part'].iloc[0]}.npy", "wb") as f:
+            f.write(files.npy_bytes(frame, (int(frame["i0"].max()) + 1,), "<f8"))
         return pd.DataFrame({"n": [len(frame)]})
 
-    df.groupBy().applyInPandas(put, "n long").count()  # one file of a fixed 500 values
-    return files.read_npy(spark, path, "<f8", 1).select("i0", "value")
+    rows.groupBy("part").applyInPandas(put, "n long").count()  # a file for every 256 values
+    part = F.regexp_extract("file", r"part-([0-9]+)\.npy$", 1).cast("long")
+    return files.read_npy(spark, path, "<f8", 1).select((part * 256 + F.col("i0")).alias("i0"), "value")
 
 
 @query("SELECT n_nationkey::BIGINT AS \"row\", n_nationkey AS k, n_regionkey::DOUBLE AS v FROM nation WHERE n_nationkey BETWEEN 3 AND 11")
