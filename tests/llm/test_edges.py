@@ -57,20 +57,3 @@ def test_stages_keep_the_columns(spark, docs, stage):
     rows = out.collect()
     if docs.count() and stage is stages.keep_one_of_each_class:
         assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7, 8]
-
-
-def test_pipeline_matches_its_parts(spark, sf_dir):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = stages.keep_identified(spark, docs, sf_dir)
-    assert first.count() >= 0.95 * docs.count()
-    rows = corpus_pipeline.run(spark, sf_dir).collect()
-    ends = {}
-    for r in rows:
-        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in ends.values():
-        at = 0
-        for o, n in sorted(parts):
-            assert o == at
-            at += n
-        assert at <= 1024
