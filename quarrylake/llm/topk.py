@@ -77,44 +77,44 @@ def _scores(r, dim, kind, exact):
     return q_ids, c_ids, s, q_ids[:, None] != c_ids[None, :]
 
 
-def _histograms(batches, dim, kind, exact, k):
+def _histogram(q, c, dim, kind, exact, k):
+    """Bins of one block pair from the top down to its own kth score, by query."""
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
-        out = [[], [], []]
-        for r in b.to_pylist():
-            q_ids, _, s, ok = _scores(r, dim, kind, exact)
-            low, width = np.frombuffer(r["low"], "<i8")[:, None], np.frombuffer(r["width"], "<i8")[:, None]
-            at = np.where(ok & (s >= low), np.minimum((s - low) // width, BINS), -1)
-            for i in range(len(q_ids)):
-                n = np.bincount(at[i] + 1, minlength=BINS + 2)[1:]
-                seen = np.flatnonzero(n)[::-1]
-                if len(seen):
-                    cum = np.cumsum(n[seen])
-                    seen = seen[: int(np.searchsorted(cum, k)) + 1]
-                    out[0] += [q_ids[i]] * len(seen)
-                    out[1] += seen.tolist()
-                    out[2] += n[seen].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "bin", "n"])
-
-
-def _survivors(batches, dim, kind, exact, k):
+    out = [[], [], []]
+    for r in ({**x, **y} for x in q.to_pylist() for y in c.to_pylist()):
+        q_ids, _, s, ok = _scores(r, dim, kind, exact)
+        low, width = np.frombuffer(r["low"], "<i8")[:, None], np.frombuffer(r["width"], "<i8")[:, None]
+        at = np.where(ok & (s >= low), np.minimum((s - low) // width, BINS), -1)
+        for i in range(len(q_ids)):
+            n = np.bincount(at[i] + 1, minlength=BINS + 2)[1:]
+            seen = np.flatnonzero(n)[::-1]
+            if len(seen):
+                cum = np.cumsum(n[seen])
+                seen = seen[: int(np.searchsorted(cum, k)) + 1]
+                out[0] += [q_ids[i]] * len(seen)
+                out[1] += seen.tolist()
+                out[2] += n[seen].tolist()
+    return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "bin", "n"])
+
+
+def _survivors(q, c, dim, kind, exact, k):
+    """The scores of one block pair at or above each query's floor, the k best at most."""
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
-        out = [[], [], []]
-        for r in b.to_pylist():
-            q_ids, c_ids, s, ok = _scores(r, dim, kind, exact)
-            low = np.frombuffer(r["low"], "<i8")
-            for i in range(len(q_ids)):
-                j = np.flatnonzero(ok[i] & (s[i] >= low[i]))
-                j = j[np.lexsort((c_ids[j], -s[i][j]))[:k]]
-                out[0] += [q_ids[i]] * len(j)
-                out[1] += c_ids[j].tolist()
-                out[2] += s[i][j].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+    out = [[], [], []]
+    for r in ({**x, **y} for x in q.to_pylist() for y in c.to_pylist()):
+        q_ids, c_ids, s, ok = _scores(r, dim, kind, exact)
+        low = np.frombuffer(r["low"], "<i8")
+        for i in range(len(q_ids)):
+            j = np.flatnonzero(ok[i] & (s[i] >= low[i]))
+            j = j[np.lexsort((c_ids[j], -s[i][j]))[:k]]
+            out[0] += [q_ids[i]] * len(j)
+            out[1] += c_ids[j].tolist()
+            out[2] += s[i][j].tolist()
+    return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
@@ -133,17 +133,19 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     blocks, n_blocks = _blocks(candidates, BLOCK, dim, kind)
     blocks = stage_table(blocks, "topk-blocks")
 
-    def pairs(asked):
+    def pairs(asked, score, schema):
+        # one group is one pair of blocks, so a task holds one pair at a time
         packed, n = _blocks(asked, QUERY_BLOCK, dim, kind, ("low", "width"))
         left = packed.toDF("qb", "q_ids", "q_mat", "low", "width").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         right = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        return left.join(right, ["qb", "b"]).drop("qb", "b")
+        both = left.groupBy("qb", "b").cogroup(right.groupBy("qb", "b"))
+        return both.applyInArrow(lambda x, y: score(x, y, dim, kind, exact, k), schema)
 
     width = max(1, -(-(2 * bound + 1) // BINS))
     asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(0).cast("long").alias("above"))
     asked, settled = stage_table(asked, "topk-queries"), []
     while True:
-        counts = pairs(asked).mapInArrow(lambda it: _histograms(it, dim, kind, exact, k), "query_id long, bin long, n long")
+        counts = pairs(asked, _histogram, "query_id long, bin long, n long")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         # scores above the range are in the last bin, which stands for all of them
@@ -166,7 +168,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     ready = settled[0]
     for s in settled[1:]:
         ready = ready.union(s)
-    kept = pairs(ready).mapInArrow(lambda it: _survivors(it, dim, kind, exact, k), "query_id long, vec_id long, score long")
+    kept = pairs(ready, _survivors, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
