@@ -19,6 +19,8 @@ are packed once each; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ CAPACITY = 1024
 #: Stop pricing when the bound shows the program within this share of its optimum.
 GAP = 0.001
 MAX_PRICINGS = 400
-#: Rows of one rank bucket, on average.
+#: Rows of one rank bucket, on average; more for very frequent lengths.
 BUCKET_ROWS = 2000
 
 PIECE = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -224,15 +226,20 @@ def pattern_table(spark: SparkSession, patterns) -> DataFrame:
 # --- plans ----------------------------------------------------------------
 
 
-def ranked(pieces: DataFrame, rows: int) -> DataFrame:
-    """``rank`` from 0 within ``length``, without sorting a length in one task."""
-    n = max(1, -(-rows // BUCKET_ROWS))
-    order = ["row_key", "doc_id", "start"]
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("row_key", "start"), F.lit(n)))
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rank`` from 0 within ``length``, without sorting a length in one task.
+
+    A length's rows are dealt to buckets in proportion to its count, at least
+    ``BUCKET_ROWS`` a bucket and no more buckets than rows in one.
+    """
+    rows = [(x, -(-n // max(BUCKET_ROWS, math.isqrt(n)))) for x, n in counts.items()]
+    # one row per length, so at most the capacity
+    deals = F.broadcast(pieces.sparkSession.createDataFrame(rows, "length long, buckets long"))
+    dealt = pieces.join(deals, "length").withColumn("bucket", F.pmod(F.xxhash64("row_key", "start"), "buckets")).drop("buckets")
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy(*order)
+    own = Window.partitionBy("length", "bucket").orderBy("row_key", "doc_id", "start")
     return (
         dealt.join(before, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.row_number().over(own) - 1)
@@ -246,7 +253,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     pieces = stage_table(cut_pieces(docs, tokenizer, capacity, with_ids), "packing-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     places = pattern_table(spark, solve_patterns(counts, capacity))
-    rank = ranked(pieces, sum(counts.values()))
+    rank = ranked(pieces, counts)
     # at most a few rows per histogram entry, so the small side is bounded by the capacity
     placed = rank.join(F.broadcast(places), "length").where("rank >= first and rank < until")
     turn = F.col("rank") - F.col("first")
