@@ -174,11 +174,43 @@ def fletcher32(data: bytes) -> int:
     return high << 16 | low
 
 
+# Rotations of the lookup3 rounds.
+_MIX = (4, 6, 8, 16, 19, 4)
+_FINAL = (14, 11, 25, 16, 4, 14, 24)
+
+
+def lookup3(data: bytes, start: int = 0) -> int:
+    """Bob Jenkins' public-domain lookup3 hash over little-endian words."""
+    full = 0xFFFFFFFF
+    turn = lambda x, k: ((x << k) | (x >> (32 - k))) & full
+    v = [(0xDEADBEEF + len(data) + start) & full] * 3
+
+    def take(block: bytes) -> None:
+        for k in range(3):
+            v[k] = (v[k] + int.from_bytes(block[4 * k : 4 * k + 4].ljust(4, b"\0"), "little")) & full
+
+    at = 0
+    while len(data) - at > 12:
+        take(data[at : at + 12])
+        for n, k in enumerate(_MIX):  # the three words take turns
+            i, prev, after = n % 3, (n + 2) % 3, (n + 1) % 3
+            v[i] = ((v[i] - v[prev]) & full) ^ turn(v[prev], k)
+            v[prev] = (v[prev] + v[after]) & full
+        at += 12
+    if at == len(data):
+        return v[2]
+    take(data[at:])
+    for n, k in enumerate(_FINAL):
+        i, prev = (n + 2) % 3, (n + 1) % 3
+        v[i] = ((v[i] ^ v[prev]) - turn(v[prev], k)) & full
+    return v[2]
+
+
 def checksum(data: Column, kind: str) -> Column:
-    """Checksum column of a binary column: crc32, crc32c or fletcher32."""
+    """Checksum column of a binary column: crc32, crc32c, fletcher32 or lookup3."""
     if kind == "crc32":
         return F.crc32(data)
-    of = {"crc32c": crc32c, "fletcher32": fletcher32}[kind]
+    of = {"crc32c": crc32c, "fletcher32": fletcher32, "lookup3": lookup3}[kind]
 
     @F.pandas_udf("long")
     def batch(s):

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidFormat
 from ..functions.scalars import header_integer, iso8601_valid
 
 # What a session file must have.
@@ -22,6 +23,13 @@ def _expected(df: DataFrame, name: str, values: list[str]) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
 
 
+def require_root(attributes: DataFrame) -> None:
+    """Raises unless the root says that it is a session file, with a version."""
+    root = {r["name"]: r["value"] for r in attributes.where("path = '/' and name in ('neurodata_type', 'nwb_version')").collect()}
+    if root.get("neurodata_type") != "NWBFile" or not root.get("nwb_version"):
+        raise InvalidFormat("the root is not a session file with a version")
+
+
 def session_attributes(attributes: DataFrame) -> DataFrame:
     """Missing or empty root attributes, and a start time that is not ISO 8601."""
     root = attributes.where("path = '/'")

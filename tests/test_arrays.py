@@ -99,6 +99,7 @@ def test_bare_repeated_levels(spark):
 
 
 def test_checksums():
+    assert codecs.lookup3(b"") == 0xDEADBEEF and codecs.lookup3(b"Four score and seven years ago") == 0x17770551
     assert codecs.crc32c(b"123456789") == 0xE3069283 and codecs.crc32c(b"") == 0
     for data, want in [(b"", 0), (b"\1\2", 0x02010201), (b"\1\2\3\4", 0x08050604), (b"\1\2\3", 0x04050204), (b"\xff", 0x00FF00FF)]:
         assert codecs.fletcher32(data) == want

@@ -40,3 +40,24 @@ def test_stream_appends(spark, tmp_path):
         append_stream(stream, str(tmp_path / "a"), meta, str(tmp_path / "check")).awaitTermination(120)
     rows = zarr.read_array(spark, str(tmp_path / "a")).orderBy("i0").collect()
     assert [r.value for r in rows] == [float(i) for i in range(11)]
+
+
+def test_embedded_tables(spark, tmp_path):
+    from quarrylake.plans import hybrid
+
+    df = spark.range(20).select("id", (F.col("id") % 3).alias("k"))
+    made = hybrid.embed(df, str(tmp_path), "t", "index", ["k"])
+    assert made == hybrid.descriptor(spark, str(tmp_path), "t") == hybrid.Descriptor("index", ("k",), 20) and made.embedded
+    assert hybrid.read_embedded(spark, str(tmp_path), "t").where("k = 1").count() == 7
+    assert not hybrid.Descriptor("cache").embedded
+    with pytest.raises(errors.NotFound):
+        hybrid.embed(df, str(tmp_path), "u", keys=["zz"])
+
+
+def test_root_check(spark):
+    from quarrylake.operators import validate
+
+    good = [("/", "neurodata_type", "NWBFile"), ("/", "nwb_version", "2.6.0")]
+    validate.require_root(spark.createDataFrame(good, "path string, name string, value string"))
+    with pytest.raises(errors.InvalidFormat):
+        validate.require_root(spark.createDataFrame(good[1:], "path string, name string, value string"))
