@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidFormat, UnsupportedFeature
 from ..functions import dtypes
+from ..operators.selection import ALL, Selection, select, validate
 
 BLOCK, CARD = 2880, 80
 NPY_TYPES = ("<f4", "<f8", "<i4", "<i8")
@@ -199,6 +200,35 @@ def read_fits_table(spark: SparkSession, path: str, hdu: int = 1, rows: tuple[in
     return files.mapInArrow(decode, "row long" + "".join(f", `{n}` {t}" for n, _, t in kept))
 
 
+def read_fits_image(spark: SparkSession, path: str, hdu: int = 0, selection: Selection = ALL) -> DataFrame:
+    """Long form (i0..iN, value) of an image's stored values; i0 is the slowest axis, and
+    scaling is left to ``scalars.scaled``."""
+    cards = read_fits_cards(spark, path).where(F.col("hdu") == hdu).select("keyword", "value", "data_at").collect()
+    facts, at = {r["keyword"]: r["value"] for r in cards}, cards[0]["data_at"] if cards else 0
+    if not facts or int(facts["NAXIS"]) == 0:
+        raise InvalidFormat(f"{path}: unit {hdu} has no image")
+    shape = [int(facts[f"NAXIS{k}"]) for k in range(int(facts["NAXIS"]), 0, -1)]
+    kind = dtypes.BITPIX[int(facts["BITPIX"])]
+    validate(selection, shape)
+    coords = [f"i{k}" for k in range(len(shape))]
+
+    def decode(batches):
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+
+        wide = {"u1": "i2"}.get(kind, kind)
+        for b in batches:
+            for row in b.to_pylist():
+                a = np.frombuffer(bytes(row["content"]), ">" + kind if kind != "u1" else kind, math.prod(shape), at)
+                place = np.indices(shape).reshape(len(shape), -1)
+                yield pa.RecordBatch.from_arrays([*[pa.array(p, pa.int64()) for p in place], pa.array(a.astype(wide))], [*coords, "value"])
+
+    schema = "".join(f"{c} long, " for c in coords) + f"value {dtypes.CODES[kind][1].simpleString()}"
+    return select(spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, schema), coords, selection)
+
+
 def fits_table_bytes(columns: list[tuple[str, str]], data) -> bytes:
     """A FITS file with an empty primary unit and one binary table, from pandas."""
     import numpy as np

@@ -223,3 +223,12 @@ def test_open_dataset(spark, tmp_path):
     assert open_dataset(spark, str(tmp_path / "t.parquet")).read(Hyperslab.contiguous([2], [3])).count() == 3
     with pytest.raises(errors.UnsupportedFeature):
         open_dataset(spark, "x", kind="hdf5")
+
+
+def test_fits_image(spark, tmp_path):
+    a = np.arange(8, dtype=">i2").reshape(2, 4)
+    cards = ["SIMPLE  =                    T", "BITPIX  =                   16", "NAXIS   =                    2", "NAXIS1  =                    4", "NAXIS2  =                    2", "END"]
+    head = "".join(c.ljust(80) for c in cards).ljust(2880)
+    (tmp_path / "i.fits").write_bytes(head.encode() + a.tobytes().ljust(2880, b"\0"))
+    got = files.read_fits_image(spark, str(tmp_path / "i.fits"), selection=Hyperslab.contiguous([1, 1], [1, 2])).collect()
+    assert sorted((r.i0, r.i1, r.value) for r in got) == [(1, 1, 5), (1, 2, 6)]
