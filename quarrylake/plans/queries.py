@@ -138,7 +138,7 @@ def chunk_fill_missing(spark, sf_dir):
 
 
 @query(
-    """SELECT DISTINCT vec_id // 50 AS c0, p // 16 AS c1, (vec_id // 50) * 4 + p // 16 AS linear FROM embeddings, (SELECT unnest([1, 17, 33]) AS p)"""
+    """SELECT DISTINCT vec_id // 50 AS c0, (p // 16)::BIGINT AS c1, (vec_id // 50) * 4 + p // 16 AS linear FROM embeddings, (SELECT unnest([1, 17, 33]) AS p)"""
 )
 def points_to_chunks(spark, sf_dir):
     df = _embeddings(spark, sf_dir, Dim(1, 16, 3, 1))
@@ -157,7 +157,7 @@ def linear_orders(spark, sf_dir):
     return rows.select("linear", *[c.alias(f"r{k}") for k, c in enumerate(row_major)], *[c.alias(f"f{k}") for k, c in enumerate(col_major)])
 
 
-@query("SELECT k AS part, k * 142857 + least(k, 1) AS begin, 142857 + CASE WHEN k < 1 THEN 1 ELSE 0 END AS length FROM (SELECT unnest(range(0, 7)) AS k)")
+@query("SELECT k AS part, k * 142857 + least(k, 1) AS begin, (142857 + CASE WHEN k < 1 THEN 1 ELSE 0 END)::BIGINT AS length FROM (SELECT unnest(range(0, 7)) AS k)")
 def byte_partition(spark, sf_dir):
     return chunks.byte_ranges(spark, 1_000_000, 7)
 
@@ -352,7 +352,7 @@ def dictionary_decode(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.dictionary_value(words, index).alias("flag"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey * 0.5 + 10 END AS physical FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN NULL ELSE (c_nationkey * 0.5 + 10)::DOUBLE END AS physical FROM customer")
 def physical_scaling(spark, sf_dir):
     raw = F.col("c_nationkey")
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.scaled(raw, F.lit(0.5), F.lit(10.0), F.lit(3)).alias("physical"))
