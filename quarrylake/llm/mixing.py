@@ -35,8 +35,9 @@ MAX_REPEAT = 2
 BLOCK_ROWS = 256
 MAX_BLOCKS = 65536
 #: Output shards hold about so many words; the tree has 16 to 1024 of them, and
-#: larger corpora cut each shard into parts by hash.
-SHARD_WORDS = 32_000_000
+#: larger corpora cut each shard into parts by hash.  Shards are much smaller than
+#: a task's share, so that tasks get several each and stay even.
+SHARD_WORDS = 1_000_000
 MIN_SHARDS, MAX_SHARDS = 16, 1024
 SEED = 20240601
 #: The plan has one row per source; up to so many it is broadcast.
