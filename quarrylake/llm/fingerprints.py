@@ -25,6 +25,8 @@ next; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +38,10 @@ LEVELS, GROUPS, DIGITS = 12, 8, 4
 FIELDS = LEVELS * GROUPS
 EMPTY = "-" * DIGITS
 NOT_TERM = r"[^\p{L}\p{N}]+"
-RANGE_ROWS = 4096
+#: Rows of an id range, on average: at least so many, and no more ranges than rows in one.
+RANGE_ROWS = 1024
 #: Heads of id ranges (24 bytes each) are broadcast up to so many, else joined.
-BROADCAST_HEADS = 200_000
+BROADCAST_HEADS = 400_000
 
 
 def terms(text: Column) -> Column:
@@ -114,7 +117,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     row after a row is its next document; ghosts are copies of the row after a range."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("text").alias("tie"))
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    ranges = max(1, -(-n // RANGE_ROWS))
+    ranges = max(1, -(-n // max(RANGE_ROWS, math.isqrt(n))))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
     part = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width).cast("long"), F.lit(-1).cast("long"))
     keys = docs.select("doc_id", F.xxhash64("text").alias("tie")).withColumn("part", part)
