@@ -32,7 +32,7 @@ CAPACITY = 1024
 GAP = 0.001
 MAX_PRICINGS = 400
 #: Rows of one rank bucket, on average; more for very frequent lengths.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 PIECE = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
 
