@@ -17,10 +17,13 @@ A candidate passes when the sum of the three squared z-scores is below
 an excess of uniformity does not count against it.
 
 Short runs of ordinary text can pass such tests by luck, so a second step
-controls false discoveries.  Character frequencies of all candidates' texts give
-the null model "ordinary text"; the likelihood ratio of uniform against ordinary
-text grows with length, and by Markov's inequality its inverse is a valid
-p-value.  Benjamini-Hochberg is applied within length bands on p-values rounded
+controls false discoveries.  The null model "ordinary text" has the character
+frequencies of all documents outside candidates and fixed patterns, mapped to the
+encoding's alphabet; the fixed license texts are its prior, so it is known in an
+input of keys alone too.  Base64 holds three such models (text as it is, in lower
+and in upper case), of which the likeliest counts.  The likelihood ratio of uniform
+against ordinary text grows with length, and by Markov's inequality its inverse is
+a valid p-value.  Benjamini-Hochberg is applied within length bands on p-values rounded
 up to whole powers of two: one count per band and power is all that is gathered,
 whatever the corpus size.
 
@@ -33,10 +36,14 @@ retry; an empty table returns no rows.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import code_point_spans, join_spans, spans_if, stage_table
+from .licenses import TEMPLATES
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -61,6 +68,8 @@ ALPHABETS = {
     "b36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: How ordinary text is mapped to each alphabet.
+FORMS = {"dec": [str], "hex": [str.lower], "hexu": [str.upper], "b32": [str.upper], "b36": [str.lower], "b64": [str, str.lower, str.upper]}
 
 
 def base_spans(text: Column) -> Column:
@@ -125,6 +134,25 @@ def battery(found: DataFrame) -> DataFrame:
     return rows.withColumn("z_serial", F.when(total > 0, (serial / total + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0)))
 
 
+def ordinary_text(docs: DataFrame) -> dict[str, list[list[float]]]:
+    """For each encoding and form, log2(k * p) of every symbol in ordinary text."""
+    plain = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{RUN}|{HEX}", " ")
+    plain = F.translate(F.regexp_replace(plain, "[^A-Za-z0-9+/_-]+", ""), "-_", "+/")
+    letters = docs.where("text is not null").select(F.explode(F.split(plain, "")).alias("c"))
+    counts = Counter("".join(TEMPLATES.values()))
+    for r in letters.groupBy("c").agg(F.count("*").alias("n")).collect():  # at most 65 rows
+        counts[r["c"]] += r["n"]
+
+    def weights(alphabet: str, form) -> list[float]:
+        mapped = Counter()
+        for c, n in counts.items():
+            mapped[form(c)] += n
+        total = sum(mapped[c] + 1 for c in alphabet)
+        return [math.log2(len(alphabet) * (mapped[c] + 1) / total) for c in alphabet]
+
+    return {e: [weights(a, form) for form in FORMS[e]] for e, a in ALPHABETS.items()}
+
+
 def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame:
     """doc_id, row_key, base (spans) and added (spans of the battery) for every row.
 
@@ -144,15 +172,14 @@ def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame
     found = found.withColumn("value", F.substring("whole", F.col("piece") * TEST_CHARS + 1, F.lit(TEST_CHARS))).drop("whole", "clear")
     tested = stage_table(battery(found.where(F.length("value") >= MIN_RUN)).where("n >= 2"), "secrets-tested")
 
-    # ordinary text: rank frequencies per encoding over every candidate, smoothed by one
-    letters = tested.select("enc", "k", F.explode("r").alias("x")).groupBy("enc", "k", "x").agg(F.count("*").alias("c"))
-    letters = letters.groupBy("enc", "k").agg(F.map_from_entries(F.collect_list(F.struct("x", F.col("c").cast("double")))).alias("counts"), F.sum("c").alias("all"))
-    # at most one row per alphabet
-    rows2 = tested.join(F.broadcast(letters.drop("k")), "enc")
-    ordinary = lambda x: (F.coalesce(F.col("counts")[x], F.lit(0.0)) + 1) / (F.col("all") + F.col("k"))
-    ratio = F.aggregate("r", F.lit(0.0), lambda a, x: a - F.log2(F.col("k") * ordinary(x)))
+    # fixed tables of at most 64 numbers, one per encoding and form
+    models = ordinary_text(docs)
+    table = lambda w: F.split(F.lit(",".join(map(repr, w))), ",").cast("array<double>")
+    bits = lambda w: F.aggregate("r", F.lit(0.0), lambda a, x: a - F.get(w, x))
+    nth = lambda i: F.create_map(*[x for e, m in models.items() for x in (F.lit(e), table(m[min(i, len(m) - 1)]))])[F.col("enc")]
+    ratio = F.least(*[bits(nth(i)) for i in range(max(map(len, FORMS.values())))])
     chi = F.greatest(F.lit(0.0), F.col("z_chi"))
-    passed = rows2.select(
+    passed = tested.select(
         "doc_id", "row_key", "start", "end",
         F.least(F.lit(9), F.floor(F.log2("n"))).cast("int").alias("band"),
         F.least(F.lit(64), F.greatest(F.lit(0), F.floor(ratio))).cast("int").alias("bits"),

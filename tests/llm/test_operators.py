@@ -77,6 +77,21 @@ def test_random_tokens(spark):
     found = next(got[i] for i in range(20) if got[i].added)
     assert (found.added[0].start, found.added[0].end) == (4, 64)
 
+@pytest.mark.parametrize("enc, n", [("hexu", 40), ("b32", 32), ("b36", 40), ("b64", 44)])
+@pytest.mark.parametrize("around", ["see {} here", "{}"])
+def test_every_candidate_is_a_key(spark, enc, n, around):
+    rng = np.random.default_rng(7)
+    keys = ["".join(rng.choice(list(secrets.ALPHABETS[enc]), n)) for _ in range(20)]
+    df = spark.createDataFrame([(i, around.format(k)) for i, k in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert sum(bool(got[i].added) for i in range(20) if not got[i].base) >= 18 - sum(bool(r.base) for r in got.values())
+
+
+def test_ordinary_runs_are_no_keys(spark):
+    runs = ["MAX_CONNECTION_RETRY_LIMIT_SECONDS", "INTERNATIONALISATION", "getApplicationContextProvider", "how-to-train-your-dragon-part-two", "src/main/java/org/example/Main", "2026-11-28-12-34-56-789"]
+    df = spark.createDataFrame([(i, f"the {r} of this text") for i, r in enumerate(runs * 5)], "doc_id long, text string")
+    assert not any(r.added for r in secrets.scan(df).collect())
+
 
 def test_packing(spark, sf_dir, docs):
     from tokenizers import Tokenizer
