@@ -7,12 +7,15 @@ how strongly a term t reveals it: with document counts over all N rows,
     IC(e)     = log2(N / n(e))                   what a reader would have to learn
     PMI(t, e) = log2(n(t, e) * N / (n(t) * n(e)))  what t tells about e
 
-where n(t, e) counts the rows with t in the window around a mention of e, and
-n(t) all rows whose whole text holds t.  PMI(t, e) / IC(e) is 1 for a term that
-occurs only near e.  Terms at or above ``GENERALISE`` with ``SUPPORT`` rows are
-generalised, those at or above ``REMOVE`` are removed; both give spans of kind
-``term`` at their occurrences near the entity.  Texts without a base span are
-left alone.
+where n(t, e) counts the rows that hold both, n(t) and n(e) all rows that hold one.
+PMI(t, e) / IC(e) is 1 for a term that occurs only beside e.  Few rows say little:
+P(e | t) is smoothed by ``PRIOR`` rows at the rate of e in the corpus, so
+
+    PMI(t, e) = log2((n(t, e) + PRIOR * n(e) / N) / (n(t) + PRIOR) * N / n(e))
+
+and one row with both counts, but for less than many.  Terms at or above
+``GENERALISE`` are generalised, those at or above ``REMOVE`` are removed; both give
+spans of kind ``term`` at all their occurrences in all rows.
 
 Counts are grouped with partial aggregation and joined by key; a term's or an
 entity's rows never meet in one task.  Everything is a Spark SQL expression.
@@ -28,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import code_point_spans, join_spans, spans_if, stage_table
+from .secrets import redact
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 # Runs are possessive and starts are pinned to the head of a run (or the end of the
@@ -39,12 +43,14 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-WINDOW_CHARS = 64
-SUPPORT = 3
+PRIOR = 1.0
 GENERALISE = 0.9
 REMOVE = 0.98
-TERM = r"(?<=[^\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+(?=[^\p{L}\p{N}])"
+#: Ends of the text end a term.
+TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
 NOT_TERM = r"[^\p{L}\p{N}]+"
+#: Disclosing terms are broadcast up to so many, else joined.
+BROADCAST_TERMS = 400_000
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
@@ -71,28 +77,12 @@ def entity_of(span: Column) -> Column:
     return F.xxhash64(span["kind"], value)
 
 
-def _window(text: Column, span: Column) -> Column:
-    """Terms near a span: array of (entity, term, start, end)."""
-    left_at = F.greatest(F.lit(0), span["start"] - WINDOW_CHARS)
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    right = F.substring(text, span["end"] + 1, F.lit(WINDOW_CHARS))
-    place = lambda found, at: F.transform(
-        found,
-        lambda t: F.struct(
-            entity_of(span).alias("entity"),
-            F.lower(t["value"]).alias("term"),
-            (t["start"] + at).alias("start"),
-            (t["end"] + at).alias("end"),
-        ),
-    )
-    any_term = lambda v: F.lit(True)
-    return F.concat(
-        place(code_point_spans(left, TERM, "term", any_term), left_at),
-        place(code_point_spans(right, TERM, "term", any_term), span["end"]),
-    )
+def terms(text: Column) -> Column:
+    """Distinct lower-case terms of a text."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, NOT_TERM), lambda w: w.rlike(r"^\p{L}")), lambda w: F.lower(w)))
 
 
-def scan(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def scan(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, row_key, base and added spans for every row; an added span's ``value``
     says whether its term is to be generalised or removed.
 
@@ -100,37 +90,33 @@ def scan(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), text.alias("t"), base_spans(text).alias("base"))
-    near = F.when(F.size("base") > 0, F.flatten(F.transform("base", lambda s: _window(F.col("t"), s))))
-    rows = stage_table(rows.select("doc_id", "row_key", "base", near.alias("near")), "pii-spans")
+    beside = F.when(F.size("base") > 0, terms(redact(F.col("t"), F.col("base"), " ")))
+    rows = stage_table(rows.select("doc_id", "row_key", "base", beside.alias("beside")), "pii-spans")
     total = rows.count()
 
-    entity = F.explode(F.array_distinct(F.transform("base", entity_of)))
-    n_e = rows.where(F.size("base") > 0).select(entity.alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))))
-    n_te = rows.where(F.size("near") > 0).select(pairs.alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
-    n_te = n_te.where(F.col("n_te") >= support)
-    words = F.array_distinct(F.split(F.lower("text"), NOT_TERM))
-    n_t = docs.where("text is not null").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    known = n_te.join(n_e, "entity").join(n_t, "term")
+    entities = F.array_distinct(F.transform("base", entity_of))
+    n_e = rows.where(F.size("base") > 0).select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = rows.where(F.size("base") > 0).select(entities.alias("entities"), F.explode("beside").alias("term"))
+    n_te = pairs.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    each = texts.select("doc_id", "row_key", F.explode(terms(F.col("text"))).alias("term"))
+    n_t = each.groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = n_te.join(n_e, "entity").join(n_t, "term")
     n = F.lit(float(max(total, 1)))
-    pmi = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    share = pmi / F.log2(n / F.col("n_e"))
-    known = known.where(F.col("n_e") < n).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
-
-    hits = (
-        rows.where(F.size("near") > 0)
-        .select("doc_id", "row_key", F.explode("near").alias("x"))
-        .select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), "x.*")
-        .join(known, ["entity", "term"])
-        .groupBy("hit_id", "hit_key", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .select(
-            "hit_id", "hit_key",
-            F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("value")).alias("s"),
-        )
-        .groupBy("hit_id", "hit_key")
-        .agg(F.collect_set("s").alias("added"))
-    )
+    told = (F.col("n_te") + prior * F.col("n_e") / n) / (F.col("n_t") + prior)
+    share = F.log2(told * n / F.col("n_e")) / F.log2(n / F.col("n_e"))
+    known = counted.where(F.col("n_e") < n).select("term", share.alias("share")).where(F.col("share") >= generalise)
+    known = stage_table(known.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
+
+    known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
+    hits = each.join(known, "term").groupBy(F.col("doc_id").alias("told_id"), F.col("row_key").alias("told_key"))
+    hits = hits.agg(F.collect_set(F.struct("term", "share")).alias("told")).withColumn("told", F.map_from_entries("told"))
+    same = F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("row_key") == F.col("told_key"))
+    spots = texts.join(hits, same).dropDuplicates(["told_id", "told_key"])
+    spots = spots.withColumn("at", code_point_spans(F.col("text"), TERM, "term", lambda v: F.map_contains_key("told", F.lower(v))))
+    how = lambda s: F.when(F.col("told")[F.lower(s["value"])] >= remove, "remove").otherwise("generalise")
+    added = F.transform("at", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("term").alias("kind"), how(s).alias("value")))
+    hits = spots.select(F.col("told_id").alias("hit_id"), F.col("told_key").alias("hit_key"), added.alias("added"))
     key = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)")
     added = F.coalesce("added", empty)

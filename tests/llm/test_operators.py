@@ -64,6 +64,21 @@ def test_disclosing_terms(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(one).collect()}
     assert clean[0].startswith("the report ") and "zyxelquark" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == plain[0][1]
 
+def test_disclosing_terms_everywhere(spark):
+    """Terms at the ends of a text, far from the entity, in rows without it, and of entities of one or two rows."""
+    plain = [(100 + i, f"the report of today number {i}") for i in range(3000)]
+    far = "the report of today number " * 20
+    rows = [(i, f"zyxelquark {far} spy@corp.example.com {far} Vornholm") for i in range(8)]
+    rows += [(20, f"{far} report of ZYXELQUARK"), (30, f"the report of grelmian {far} one@rare.example.org")]
+    df = spark.createDataFrame(rows + plain, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.scan(df).collect()}
+    found = {d: [t[s.start : s.end].lower() for s in sorted(got[d].added)] for d, t in rows}
+    assert all(found[i] == ["zyxelquark", "vornholm"] for i in range(8))
+    assert found[20] == ["zyxelquark"] and found[30] == ["grelmian"]
+    assert not any(got[d].added for d, _ in plain)
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitise(df).collect()}
+    assert not any(w in t for t in clean.values() for w in ("zyxelquark", "vornholm", "grelmian", "@"))
+
 
 def test_random_tokens(spark):
     rng = np.random.default_rng(1)
