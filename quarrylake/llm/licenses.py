@@ -18,7 +18,8 @@ The template table is fixed and small, so it is broadcast.  Everything is a
 Spark SQL expression over whole texts.
 
 Defined cases: a null or empty text has no match; ties of containment go to the
-longer template, then the smaller id; overlapping matches keep the best one;
+longer template, then the smaller id, then the shorter extent; matches whose exact
+extents (first to last shingle found) overlap keep the best one;
 repeated rows (equal doc_id and text) are reported once; an empty table gives no
 rows.
 """
@@ -108,10 +109,12 @@ def anchors(shingles: list[str]) -> set[str]:
 def _bands(shingles: Column) -> Column:
     """Keys of the MinHash bands of a shingle set."""
     h = F.transform(shingles, lambda s: F.xxhash64(s))
-    keys = [
-        F.xxhash64(F.lit(b), *[F.array_min(F.transform(h, lambda x, i=b * ROWS + r: F.xxhash64(x, F.lit(i)))) for r in range(ROWS)])
-        for b in range(BANDS)
-    ]
+
+    def least(seed: int) -> Column:
+        # one argument only: a second one would be the element's index
+        return F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(seed))))
+
+    keys = [F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)]
     return F.array(*keys)
 
 
@@ -148,23 +151,31 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     left = F.least(step, F.col("at.start"))
     window = F.slice("words", F.col("at.start") + 1, F.col("at.m"))
     wide = F.slice("words", F.col("at.start") - left + 1, F.col("at.m") + left + step)
-    rows = rows.select("doc_id", "row_key", "at.m", "at.start", window.alias("w"), wide.alias("wide"))
+    rows = rows.select("doc_id", "row_key", "at.m", "at.start", (F.col("at.start") - left).alias("at"), window.alias("w"), wide.alias("wide"))
     n = F.least(F.lit(SHINGLE), "m")
-    sh = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    rows = rows.where(F.size("w") >= n).select("doc_id", "row_key", "m", "start", sh("w").alias("shingles"), sh("wide").alias("around"))
+    sh = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    rows = rows.where(F.size("w") >= n).select("doc_id", "row_key", "m", "start", "at", F.array_distinct(sh("w")).alias("shingles"), sh("wide").alias("around"))
     rows = rows.withColumn("band", F.explode(_bands(F.col("shingles"))))
     # the templates are fixed: len(TEMPLATES) * BANDS short rows
     pairs = rows.join(F.broadcast(known), ["m", "band"]).drop("band")
-    both = F.size(F.array_intersect("around", "t_shingles"))
-    pairs = pairs.select("doc_id", "row_key", "template", "m", "start", both.alias("n"), (both / F.size("t_shingles")).alias("c")).where(F.col("c") >= CONTAINMENT)
-    best = pairs.groupBy("doc_id", "row_key", "template", "m", "start").agg(F.max("n").alias("n"), F.max("c").alias("c"))
-    match = F.struct((-F.col("c")).alias("by"), (-F.col("m")).alias("longer"), "template", "start", "m", "n", "c")
-    found = best.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(match)).alias("all"))
+    # exact extent: the shortest that holds all template shingles of the wide window
+    places = F.transform("t_shingles", lambda t: F.filter(F.transform("around", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()))
+    pairs = pairs.dropDuplicates(["doc_id", "row_key", "template", "m", "start"])
+    pairs = pairs.withColumn("places", F.filter(places, lambda p: F.size(p) > 0)).withColumn("n", F.size("places"))
+    pairs = pairs.withColumn("c", F.col("n") / F.size("t_shingles")).where(F.col("c") >= CONTAINMENT)
+    pairs = pairs.withColumn("from", F.array_min(F.transform("places", F.array_max)))
+    first = F.filter(F.flatten("places"), lambda p: p <= F.col("from"))
+    until = lambda p: F.array_max(F.transform("places", lambda q: F.array_min(F.filter(q, lambda i: i >= p)))) + F.least(F.lit(SHINGLE), F.col("m"))
+    pairs = pairs.withColumn("span", F.array_min(F.transform(first, lambda p: F.struct((until(p) - p).alias("length"), p.alias("from")))))
+    start = F.col("at") + F.col("span.from")
+    best = pairs.select("doc_id", "row_key", "template", "m", "n", "c", start.alias("start"), (start + F.col("span.length")).alias("end"))
+    match = F.struct((-F.col("c")).alias("by"), (-F.col("m")).alias("longer"), "template", (F.col("end") - F.col("start")).alias("length"), "start", "end", "n", "c")
+    found = best.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(match)).alias("all"))
     # best first; a match is kept unless it overlaps one kept before
-    clash = lambda a, x: F.exists(a, lambda y: (y["start"] < x["start"] + x["m"]) & (x["start"] < y["start"] + y["m"]))
+    clash = lambda a, x: F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     none = F.filter("all", lambda x: F.lit(False))
     kept = F.aggregate("all", none, lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x))))
     return found.select("doc_id", F.explode(kept).alias("k")).select(
-        "doc_id", "k.template", F.col("k.start").cast("long").alias("start"), F.col("k.m").cast("long").alias("n_words"),
+        "doc_id", "k.template", F.col("k.start").cast("long").alias("start"), (F.col("k.end") - F.col("k.start")).cast("long").alias("n_words"),
         F.col("k.n").cast("long").alias("n_shingles"), F.col("k.c").alias("containment"),
     )

@@ -306,6 +306,16 @@ def test_licenses(spark):
     assert got == [(1, "MIT/notice"), (2, "GPL-3.0/statement"), (6, "MIT/notice"), (7, "MIT/statement")]
 
 
+def test_adjacent_licenses(spark):
+    mit, cc = licenses.TEMPLATES["MIT/notice"], licenses.TEMPLATES["CC-BY-4.0/short"]
+    lead = [" ".join(f"w{i}" for i in range(k)) for k in range(24)]
+    df = spark.createDataFrame([(k, f"{x} {cc} {mit} {mit} tail") for k, x in enumerate(lead)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.template, r.n_words) for r in licenses.scan(df).collect())
+    n, m = len(licenses.template_words(cc)), len(licenses.template_words(mit))
+    want = [x for k in range(24) for x in ((k, k, "CC-BY-4.0/short", n), (k, k + n, "MIT/notice", m), (k, k + n + m, "MIT/notice", m))]
+    assert got == want
+
+
 def test_licenses_against_brute_force(spark, sf_dir, docs):
     got = {(r.doc_id, r.template.split("/")[0].split("-")[0]) for r in q.op4_license_scans(spark, sf_dir).collect()}
     want = set()
