@@ -62,6 +62,29 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Keys that hold at least one in so many of all rows are taken as frequent.
+FREQUENT = 10_000
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row per ``key`` and says in
+    ``count`` how many rows hold the key.
+
+    No task gets all rows of a frequent key: keys that hold 1 / ``FREQUENT`` of the
+    counted rows or more number at most ``FREQUENT`` at any size of the input, so they
+    are broadcast; the others are joined by shuffle.  Both frames are read more than
+    once and should be stored tables or cheap.
+    """
+    total = per_key.agg(F.sum(F.col(count).cast("double"))).first()[0] or 0.0
+    frequent = F.col(count) * FREQUENT >= total
+    rest = per_key.where(~frequent)
+    hot = F.broadcast(per_key.where(frequent))
+    joined = rows.join(hot, key)
+    if rest.isEmpty():
+        return joined
+    return joined.unionByName(rows.join(F.broadcast(per_key.where(frequent).select(key)), key, "left_anti").join(rest, key))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row: inside higher-order
     functions Spark evaluates an expression again at each place that names it."""

@@ -17,8 +17,13 @@ and one row with both counts, but for less than many.  Terms at or above
 ``GENERALISE`` are generalised, those at or above ``REMOVE`` are removed; both give
 spans of kind ``term`` at all their occurrences in all rows.
 
-Counts are grouped with partial aggregation and joined by key; a term's or an
-entity's rows never meet in one task.  Everything is a Spark SQL expression.
+Only pairs that can reach a threshold are formed: n(t, e) <= n(e) bounds n(t) from above,
+so frequent terms never meet an entity.  Counts are grouped with partial aggregation and
+joined by key, frequent keys by broadcast (``join_per_key``), so that the rows of an
+entity or term never meet in one task.  Everything is a Spark SQL expression.
+
+A generalised term is replaced by its class: a name (capitalised), a code (with digits)
+or a plain word.
 
 Defined cases: a null text is empty and has no spans; repeated rows are counted
 and returned as often as they come; matches that fail their check are dropped
@@ -30,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_point_spans, join_spans, spans_if, stage_table
+from .common import NO_SPANS, code_point_spans, join_per_key, spans_if, stage_table
 from .secrets import redact
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -51,7 +56,8 @@ TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
 NOT_TERM = r"[^\p{L}\p{N}]+"
 #: Disclosing terms are broadcast up to so many, else joined.
 BROADCAST_TERMS = 400_000
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: What replaces base spans, by kind, and generalised terms, by class.
+MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "name": "[NAME]", "code": "[CODE]", "word": "[WORD]"}
 
 
 def base_spans(text: Column) -> Column:
@@ -82,6 +88,36 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, NOT_TERM), lambda w: w.rlike(r"^\p{L}")), lambda w: F.lower(w)))
 
 
+def disclosing_terms(rows: DataFrame, each: DataFrame, total: int, prior: float, generalise: float) -> DataFrame:
+    """term and share for the terms at or above ``generalise``.
+
+    ``rows`` (doc_id, row_key, base, beside) are the rows with entities, ``each``
+    (term, ...) has one row per row and distinct term, ``total`` counts all rows.
+    """
+    # equal rows count as often as they come
+    rows = rows.groupBy("doc_id", "row_key").agg(
+        F.count("*").alias("copies"), F.first("beside").alias("beside"),
+        F.array_distinct(F.transform(F.first("base"), entity_of)).alias("entities"),
+    )
+    rows = stage_table(rows.withColumn("row", F.xxhash64("doc_id", "row_key")), "pii-rows")
+    held = stage_table(rows.select("row", "copies", F.explode("entities").alias("entity")), "pii-entities")
+    n_e = stage_table(held.groupBy("entity").agg(F.sum("copies").alias("n_e")), "pii-counts")
+    n_t = stage_table(each.groupBy("term").agg(F.count("*").alias("n_t")), "pii-counts")
+    n = F.lit(float(max(total, 1)))
+    # told >= (n_e / N) ** (1 - generalise) is needed, and told <= (1 + prior / N) * n_e / (n_t + prior)
+    most = (1 + prior / n) * F.col("n_e") * F.pow(n / F.col("n_e"), 1 - generalise) * (1 + 1e-9) - prior
+    held = join_per_key(held, n_e.where(F.col("n_e") < n), "entity", "n_e").withColumn("most", most)
+    held = stage_table(held, "pii-entities")
+    bound = held.groupBy("row").agg(F.max("most").alias("row_most"))
+    near = stage_table(rows.join(bound, "row").select("row", "row_most", F.explode("beside").alias("term")), "pii-near")
+    near = join_per_key(near, n_t, "term", "n_t").where("n_t <= row_most").select("row", "term", "n_t")
+    pairs = near.join(held, "row").where("n_t <= most").groupBy("entity", "term")
+    pairs = pairs.agg(F.sum("copies").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    told = (F.col("n_te") + prior * F.col("n_e") / n) / (F.col("n_t") + prior)
+    share = F.log2(told * n / F.col("n_e")) / F.log2(n / F.col("n_e"))
+    return pairs.select("term", share.alias("share")).where(F.col("share") >= generalise).groupBy("term").agg(F.max("share").alias("share"))
+
+
 def scan(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, row_key, base and added spans for every row; an added span's ``value``
     says whether its term is to be generalised or removed.
@@ -92,41 +128,31 @@ def scan(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE,
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), text.alias("t"), base_spans(text).alias("base"))
     beside = F.when(F.size("base") > 0, terms(redact(F.col("t"), F.col("base"), " ")))
     rows = stage_table(rows.select("doc_id", "row_key", "base", beside.alias("beside")), "pii-spans")
-    total = rows.count()
 
-    entities = F.array_distinct(F.transform("base", entity_of))
-    n_e = rows.where(F.size("base") > 0).select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = rows.where(F.size("base") > 0).select(entities.alias("entities"), F.explode("beside").alias("term"))
-    n_te = pairs.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     each = texts.select("doc_id", "row_key", F.explode(terms(F.col("text"))).alias("term"))
-    n_t = each.groupBy("term").agg(F.count("*").alias("n_t"))
-    counted = n_te.join(n_e, "entity").join(n_t, "term")
-    n = F.lit(float(max(total, 1)))
-    told = (F.col("n_te") + prior * F.col("n_e") / n) / (F.col("n_t") + prior)
-    share = F.log2(told * n / F.col("n_e")) / F.log2(n / F.col("n_e"))
-    known = counted.where(F.col("n_e") < n).select("term", share.alias("share")).where(F.col("share") >= generalise)
-    known = stage_table(known.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
-
+    known = disclosing_terms(rows.where(F.size("base") > 0), each, rows.count(), prior, generalise)
+    known = stage_table(known, "pii-terms")
     known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
     hits = each.join(known, "term").groupBy(F.col("doc_id").alias("told_id"), F.col("row_key").alias("told_key"))
     hits = hits.agg(F.collect_set(F.struct("term", "share")).alias("told")).withColumn("told", F.map_from_entries("told"))
     same = F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("row_key") == F.col("told_key"))
-    spots = texts.join(hits, same).dropDuplicates(["told_id", "told_key"])
+    spots = texts.join(hits, same)
     spots = spots.withColumn("at", code_point_spans(F.col("text"), TERM, "term", lambda v: F.map_contains_key("told", F.lower(v))))
-    how = lambda s: F.when(F.col("told")[F.lower(s["value"])] >= remove, "remove").otherwise("generalise")
+    how = lambda s: F.when(F.col("told")[F.lower(s["value"])] >= remove, "remove").otherwise(
+        F.when(s["value"].rlike("[0-9]"), "code").when(s["value"].rlike(r"^\p{Lu}"), "name").otherwise("word")
+    )
     added = F.transform("at", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("term").alias("kind"), how(s).alias("value")))
-    hits = spots.select(F.col("told_id").alias("hit_id"), F.col("told_key").alias("hit_key"), added.alias("added"))
+    hits = spots.select(F.col("told_id").alias("hit_id"), F.col("told_key").alias("hit_key"), added.alias("added")).dropDuplicates(["hit_id", "hit_key"])
     key = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key"))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)")
-    added = F.coalesce("added", empty)
+    added = F.coalesce("added", F.expr(NO_SPANS))
     clear = F.filter(added, lambda a: ~F.exists("base", lambda b: (b["start"] < a["end"]) & (b["end"] > a["start"])))
     return rows.join(hits, key, "left").select("doc_id", "row_key", "base", clear.alias("added"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with base spans replaced by their kind, generalised terms by ``[TERM]``,
-    and removed terms taken out."""
+    """``docs`` with base spans replaced by their kind, generalised terms by their
+    class, and removed terms taken out."""
     found = scan(docs.select("doc_id", "text"), **options)
     found = found.select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), F.concat("base", "added").alias("found_spans"))
     found = found.where(F.size("found_spans") > 0).dropDuplicates(["hit_id", "hit_key"])
@@ -136,7 +162,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     text = F.col("text")
     ordered = F.array_sort(F.transform("found_spans", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
-        F.when(s["kind"] != "term", mark[s["kind"]]).when(s["value"] == "remove", "").otherwise("[TERM]").alias("by"),
+        F.when(s["kind"] != "term", mark[s["kind"]]).when(s["value"] == "remove", "").otherwise(mark[s["value"]]).alias("by"),
     )))
     step = lambda a, s: F.when(
         s["start"] >= a["at"],

@@ -2,7 +2,9 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns.  The
 battery adds spans of kind ``random``: every run of ``MIN_RUN`` or more
-characters of ``[A-Za-z0-9+/_=-]`` is a candidate.  Its encoding is inferred
+characters of ``[A-Za-z0-9+/_=-]`` outside base spans is a candidate; what a base span
+leaves of a run is tested by itself, and runs of over ``TEST_CHARS`` characters are
+tested in pieces of even length.  Its encoding is inferred
 from its characters (decimal, hex, base32, lower-case letters and digits, or
 base64), which fixes the alphabet of k symbols and each character's rank, and
 three tests look at the n ranks under "drawn uniformly from the alphabet":
@@ -18,14 +20,16 @@ an excess of uniformity does not count against it.
 
 Short runs of ordinary text can pass such tests by luck, so a second step
 controls false discoveries.  The null model "ordinary text" has the character
-frequencies of all documents outside candidates and fixed patterns, mapped to the
-encoding's alphabet; the fixed license texts are its prior, so it is known in an
+frequencies of all words of all documents that are too short to be candidates, mapped
+to the encoding's alphabet; the fixed license texts are its prior, so it is known in an
 input of keys alone too.  Base64 holds three such models (text as it is, in lower
-and in upper case), of which the likeliest counts.  The likelihood ratio of uniform
-against ordinary text grows with length, and by Markov's inequality its inverse is
-a valid p-value.  Benjamini-Hochberg is applied within length bands on p-values rounded
-up to whole powers of two: one count per band and power is all that is gathered,
-whatever the corpus size.
+and in upper case), of which the likeliest counts.  With the likelihood ratio L of
+uniform against ordinary text and the battery's sum S, the evidence for a key is
+L * exp(-S / 2): the less even a run, the weaker.  Its mean under ordinary text is at
+most that of L, which is 1, so by Markov's inequality its inverse is a valid p-value;
+it shrinks with length.  Benjamini-Hochberg is applied within length bands on p-values
+rounded up to whole powers of two: one count per band and power is all that is
+gathered, whatever the corpus size.
 
 Everything is a Spark SQL expression; there is no per-document driver work.
 
@@ -42,7 +46,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_point_spans, join_spans, spans_if, stage_table
+from .common import NO_SPANS, code_point_spans, join_spans, spans_if, stage_table
 from .licenses import TEMPLATES
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -52,7 +56,7 @@ ACCESS = r"AKIA[A-Z0-9]++"
 #: A maximal run, so the same as all matches of [0-9a-f]+ with 16 or more characters.
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 
-MIN_RUN = 20
+MIN_RUN = 16
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % MIN_RUN
 RANDOM_LIMIT = 16.27
 FALSE_DISCOVERY = 0.01
@@ -105,6 +109,17 @@ def ranks(run: Column, enc: Column) -> Column:
     return F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1)
 
 
+def uncovered(run: Column, base: Column) -> Column:
+    """The stretches (start, end, value) of a run that no base span covers."""
+    stretch = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(run["value"], a - run["start"] + 1, b - a).alias("value"))
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
+    ordered = F.array_sort(F.transform(inside, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    zero = F.struct(run["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    add = lambda a, until: F.when(until > a["at"], F.concat(a["out"], F.array(stretch(a["at"], until)))).otherwise(a["out"])
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), add(a, b["start"]).alias("out"))
+    return F.aggregate(ordered, zero, step, lambda a: add(a, run["end"]))
+
+
 def battery(found: DataFrame) -> DataFrame:
     """Adds enc, k, n and the three z-scores to rows with a column ``value``."""
     rows = found.withColumn("enc", encoding(F.col("value")))
@@ -136,12 +151,12 @@ def battery(found: DataFrame) -> DataFrame:
 
 def ordinary_text(docs: DataFrame) -> dict[str, list[list[float]]]:
     """For each encoding and form, log2(k * p) of every symbol in ordinary text."""
-    plain = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{RUN}|{HEX}", " ")
-    plain = F.translate(F.regexp_replace(plain, "[^A-Za-z0-9+/_-]+", ""), "-_", "+/")
-    letters = docs.where("text is not null").select(F.explode(F.split(plain, "")).alias("c"))
+    short = F.filter(F.split("text", "[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w) < MIN_RUN)
+    words = docs.where("text is not null").select(F.explode(short).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    letters = words.select(F.explode(F.split("w", "")).alias("c"), "n").where("c <> ''")
     counts = Counter("".join(TEMPLATES.values()))
-    for r in letters.groupBy("c").agg(F.count("*").alias("n")).collect():  # at most 65 rows
-        counts[r["c"]] += r["n"]
+    for r in letters.groupBy("c").agg(F.sum("n").alias("n")).collect():  # at most 67 rows
+        counts[{"-": "+", "_": "/"}.get(r["c"], r["c"])] += r["n"]
 
     def weights(alphabet: str, form) -> list[float]:
         mapped = Counter()
@@ -165,12 +180,13 @@ def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame
     rows = stage_table(rows, "secrets-spans")
 
     found = rows.where(F.size("runs") > 0).select("doc_id", "row_key", "base", F.explode("runs").alias("s"))
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    found = found.select("doc_id", "row_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("whole"), clear.alias("clear"))
-    pieces = F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / TEST_CHARS).cast("int"))
-    found = found.where("clear").withColumn("piece", F.explode(pieces))
-    found = found.withColumn("value", F.substring("whole", F.col("piece") * TEST_CHARS + 1, F.lit(TEST_CHARS))).drop("whole", "clear")
-    tested = stage_table(battery(found.where(F.length("value") >= MIN_RUN)).where("n >= 2"), "secrets-tested")
+    found = found.select("doc_id", "row_key", F.explode(uncovered(F.col("s"), F.col("base"))).alias("s")).where(F.length("s.value") >= MIN_RUN)
+    size, pieces = F.length("s.value"), F.ceil(F.length("s.value") / TEST_CHARS).cast("long")
+    cut = lambda i: F.call_function("div", i * size, pieces).cast("int")
+    found = found.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    piece = F.substring("s.value", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i")))
+    found = found.select("doc_id", "row_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), piece.alias("value"))
+    tested = stage_table(battery(found).where("n >= 2"), "secrets-tested")
 
     # fixed tables of at most 64 numbers, one per encoding and form
     models = ordinary_text(docs)
@@ -179,11 +195,12 @@ def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame
     nth = lambda i: F.create_map(*[x for e, m in models.items() for x in (F.lit(e), table(m[min(i, len(m) - 1)]))])[F.col("enc")]
     ratio = F.least(*[bits(nth(i)) for i in range(max(map(len, FORMS.values())))])
     chi = F.greatest(F.lit(0.0), F.col("z_chi"))
+    total = chi * chi + F.col("z_runs") ** 2 + F.col("z_serial") ** 2
     passed = tested.select(
         "doc_id", "row_key", "start", "end",
         F.least(F.lit(9), F.floor(F.log2("n"))).cast("int").alias("band"),
-        F.least(F.lit(64), F.greatest(F.lit(0), F.floor(ratio))).cast("int").alias("bits"),
-        (chi * chi + F.col("z_runs") ** 2 + F.col("z_serial") ** 2 <= RANDOM_LIMIT).alias("random"),
+        F.least(F.lit(64.0), F.greatest(F.lit(0.0), F.floor(ratio - total * (0.5 / math.log(2))))).cast("int").alias("bits"),
+        (total <= RANDOM_LIMIT).alias("random"),
     )
     # Benjamini-Hochberg: the fewest bits b with 2^-b * m <= q * (number with >= b bits)
     passed = passed.withColumn("bits", F.when(F.col("random"), F.col("bits")).otherwise(F.lit(0)))
@@ -199,7 +216,7 @@ def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame
     key = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key"))
     return rows.join(hits, key, "left").select(
         "doc_id", "row_key", "base",
-        F.coalesce("added", F.expr("cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)")).alias("added"),
+        F.coalesce("added", F.expr(NO_SPANS)).alias("added"),
     )
 
 
