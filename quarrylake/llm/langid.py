@@ -9,8 +9,10 @@ by one temperature fitted on rows left out of training.
 
 Document frequencies are counted by Spark over every training row.  The
 regression itself sees a bounded sample: about ``SAMPLE_PER_LANGUAGE`` rows of
-each language, chosen by a hash of the row (documented parameter).  Prediction
-reads every text whole, in Arrow batches.
+each language and ``SAMPLE_ROWS`` in all, chosen by a hash of the row (documented
+parameters).  Every language of the training rows is learned; the driver holds one
+count for each, as it holds the model.  Prediction reads every text whole, in Arrow
+batches.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without any labelled row all are ``und``; rows with null lang are not learned
@@ -25,9 +27,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
-SAMPLE_PER_LANGUAGE = 1000
-#: A model tells the most frequent languages of the training rows apart, up to so many.
-MAX_LANGUAGES = 500
+#: With very many languages each has fewer, but about ``LEAST_ROWS`` in any case.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS = 1000, 200_000, 20
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 #: One row in so many of the sample is left out of training and fits the temperature.
@@ -91,7 +92,7 @@ def _features(batches):
                 b.column("lang"),
                 b.column("calibrate"),
                 pa.array([i.astype("<u2").tobytes() for i, _ in got], pa.binary()),
-                pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got], pa.binary()),
+                pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary()),
             ],
             ["lang", "calibrate", "buckets", "counts"],
         )
@@ -113,7 +114,7 @@ def train(rows, labels, classes: int, epochs: int = EPOCHS, seed: int = SEED):
     """
     import numpy as np
 
-    z, n = np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes))
+    z, n = np.zeros((BUCKETS, classes), np.float32), np.zeros((BUCKETS, classes), np.float32)
     rng = np.random.default_rng(seed)
 
     def weights(i):
@@ -159,13 +160,15 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict |
     import numpy as np
 
     training = training.where("text is not null and lang is not null")
-    langs = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    langs = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not langs:
         return None
     names = sorted(langs)
-    spread = (F.pmod(F.xxhash64("key", F.xxhash64("text"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30))
-    rate = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    part = training.where(F.col("lang").isin(names)).withColumn("u", spread).where(F.col("u") < rate[F.col("lang")])
+    index, per_language = {x: i for i, x in enumerate(names)}, max(LEAST_ROWS, min(per_language, SAMPLE_ROWS // len(names)))
+    spread = F.pmod(F.xxhash64("key", F.xxhash64("text"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    rates = [(x, min(1.0, per_language / n)) for x, n in langs.items()]
+    rates = F.broadcast(training.sparkSession.createDataFrame(rates, "lang string, rate double"))
+    part = training.withColumn("u", spread).join(rates, "lang").where("u < rate").drop("rate")
     part = part.withColumn("calibrate", F.pmod(F.xxhash64("key", "text", F.lit(SEED + 1)), F.lit(CALIBRATION_SHARE)) == 0)
     sample = part.select("text", "lang", "calibrate").mapInArrow(_features, "lang string, calibrate boolean, buckets binary, counts binary").collect()
     counted = training.select("text").mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -177,8 +180,8 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict |
     rows, labels, held = [], [], []
     for r in sample:
         i = np.frombuffer(r["buckets"], "<u2").astype(np.int64)
-        rows.append((i, weigh(i, np.frombuffer(r["counts"], "<u2").astype(float), idf)))
-        labels.append(names.index(r["lang"]))
+        rows.append((i, weigh(i, np.frombuffer(r["counts"], "<u4").astype(float), idf)))
+        labels.append(index[r["lang"]])
         held.append(r["calibrate"])
     pick = lambda flag: [k for k, h in enumerate(held) if h == flag]
     learn, check = pick(False) or pick(True), pick(True)
@@ -218,7 +221,7 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score; texts are read whole."""
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    # the model is bounded: BUCKETS rows, at most MAX_LANGUAGES columns, zero rows left out
+    # BUCKETS rows at most (zero rows left out), one column per language
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return docs.select("text", *keep).mapInArrow(lambda it: _predict(it, model), schema)
 

@@ -13,35 +13,40 @@ from one multivariate-hypergeometric draw, so that every shard is a uniform
 sample of the mix and the quotas hold exactly.  Shards own consecutive draws, so
 blocks are disjoint, and rows are put in a random order inside their shard.
 
-Only one row per source reaches the driver, where the weights live too; block
-and row work stays in Spark, and no source is ever one task: blocks hold about
-``BLOCK_ROWS`` rows, and a source has at most ``MAX_BLOCKS`` of them.
+Sources stay in Spark: their order, weights, targets and quotas are columns, and the
+targets' water level is found in a few aggregates.  The driver's tree splits the quotas
+of at most ``GROUPS`` groups of sources; each group's share is split among its own
+sources in a task of its own.  Draws are settled on ids and sizes alone, and whole
+documents are joined once, at the end.  No source is ever one task: blocks hold about
+``BLOCK_ROWS`` rows, more for sources of over ``MAX_BLOCKS`` blocks.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a
 source of its own and sorts last; repeated rows are drawn separately, in a fixed
-order; with no words at all every target is 0.
+order; with no words at all every target is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import SPACE, stage_table
+from .common import SPACE, join_per_key, stage_table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_ROWS = 256
+#: A source's blocks are put in order by one task, which sees one short row of each.
 MAX_BLOCKS = 65536
 #: Output shards hold about so many words; the tree has 16 to 1024 of them, and
 #: larger corpora cut each shard into parts by hash.  Shards are much smaller than
 #: a task's share, so that tasks get several each and stay even.
 SHARD_WORDS = 1_000_000
 MIN_SHARDS, MAX_SHARDS = 16, 1024
+#: Sources of a group, about; more where there would be over ``GROUPS`` groups.
+GROUP_SOURCES, GROUPS = 64, 1024
 SEED = 20240601
-#: The plan has one row per source; up to so many it is broadcast.
-BROADCAST_SOURCES = 10_000
 
 
 def text_size(text: Column) -> Column:
@@ -51,159 +56,190 @@ def text_size(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
-def fill_targets(sizes: list[int], weights: list[float], total: float, repeat: float = MAX_REPEAT) -> list[float]:
-    """Targets by weight, none above ``repeat`` times its size; the excess goes on by weight."""
-    target, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(total)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = {i for i in open_ if unit * weights[i] >= repeat * sizes[i]}
-        if not full:
-            for i in open_:
-                target[i] = unit * weights[i]
-            break
-        for i in full:
-            target[i] = float(repeat * sizes[i])
-            left -= target[i]
-        open_ -= full
-    return target
-
+def split_quotas(quotas: list[int], shards: int | list[int], seed=SEED) -> list[list[int]]:
+    """Draws per shard and source; columns add up to the quotas.
 
-def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
-    """Draws per shard and source; columns add up to the quotas, rows differ by at most one draw."""
+    ``shards`` is their number, and rows then differ by at most one draw, or the
+    number of draws of each.
+    """
     import numpy as np
 
     rng = np.random.default_rng(seed)
+    pool = np.array(quotas, np.int64)
+    if isinstance(shards, int):
+        total = int(pool.sum())
+        shards = np.diff([-(-total * i // shards) for i in range(shards + 1)])
+    until = np.r_[0, np.cumsum(shards)]
     result = []
 
     def draw(pool, k):
         # one source at a time: the hypergeometric conditionals of the joint draw
         got, rest = np.zeros_like(pool), int(pool.sum())
-        for i, n in enumerate(pool):
-            rest -= int(n)
-            got[i] = n if not rest else _hypergeometric(rng, int(n), rest, k)
-            got[i] = min(int(got[i]), k)
+        for i in np.flatnonzero(pool):
+            n = int(pool[i])
+            rest -= n
+            got[i] = min(k, n if not rest else max(_hypergeometric(rng, n, rest, k), k - rest))
             k -= int(got[i])
         return got
 
-    def node(pool, first, n):
-        if n == 1:
-            result.append([int(x) for x in pool])
+    def node(pool, first, last):
+        if last - first == 1:
+            result.append(pool.tolist())
             return
-        total = int(pool.sum())
-        left_n = n // 2
-        left = draw(pool, -(-total * left_n // n))
-        node(left, first, left_n)
-        node(pool - left, first + left_n, n - left_n)
+        middle = (first + last) // 2
+        left = draw(pool, int(until[middle] - until[first]))
+        node(left, first, middle)
+        node(pool - left, middle, last)
 
-    node(np.array(quotas, np.int64), 0, shards)
+    node(pool, 0, len(shards))
     return result
 
 
 def _hypergeometric(rng, good, bad, k):
+    """A draw; above numpy's limit of 10**9 its normal limit, which is then within
+    one draw's rounding of it in distribution."""
     if not k or not good:
         return 0
-    return int(rng.hypergeometric(good, bad, k))
-
-
-def _source_rows(per_source, weights, share, repeat):
-    """The recipe: one tuple per source, by code point, null last."""
-    per_source = sorted(per_source, key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    sizes = [int(r["source_size"]) for r in per_source]
-    own = [weights[i % len(weights)] for i in range(len(sizes))]
-    rows = []
-    for r, s, t in zip(per_source, sizes, fill_targets(sizes, own, share * sum(sizes), repeat), strict=True):
-        passes = int(t // s) if s else 0
-        rows.append((r["source"], s, float(t), passes, round(t - passes * s), min(MAX_BLOCKS, -(-r["rows"] // BLOCK_ROWS))))
-    return rows
-
-
-def _with_source(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
-    """Join on source, nulls equal; the plan is broadcast while it is checked to be small."""
-    plan = plan.withColumnRenamed("source", "plan_source")
-    plan = F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-
-
-def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT, shards: int | None = None, seed: int = SEED, carry: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target and
-    ``draws``, an array of (words to take from the start, shard, part of the shard,
-    place in it).
-
-    ``carry`` adds the document itself as the struct column ``doc``.
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, k))
+    n, p = good + bad, good / (good + bad)
+    spread = (k * p * (1 - p) * ((n - k) / (n - 1))) ** 0.5
+    return min(good, k, max(0, k - bad, round(rng.normal(k * p, spread))))
+
+
+def in_order(sources: DataFrame) -> DataFrame:
+    """``place`` of each source from 0, by code point, null last, without a sort in one task."""
+    dealt = sources.repartitionByRange(F.asc_nulls_last("source")).withColumn("at", F.spark_partition_id())
+    dealt = stage_table(dealt, "mixing-order")
+    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    before = dealt.groupBy("at").agg(F.count("*").alias("n")).select("at", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("at").orderBy(F.asc_nulls_last("source")))
+    return dealt.join(F.broadcast(before), "at").withColumn("place", F.col("before") + own - 1).drop("at", "before")
+
+
+def with_targets(sources: DataFrame, weights, share: float, repeat: float) -> tuple[DataFrame, float, int]:
+    """``sources`` (source, source_size, ...) with ``target``; also the words of the mix
+    and the number of sources.
+
+    By weight, none above ``repeat`` times its size; the excess goes on by weight.  So a
+    target is the water level times the weight, or the limit; each round takes out the
+    sources that the level of the round before fills.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        "doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("tie"),
-        *([F.struct(*docs.columns).alias("doc")] if carry else []),
-    )
-    sized = stage_table(rows.drop("doc"), "mixing-sizes")
-    rows = rows if carry else sized
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).collect()
-    recipe = _source_rows(per_source, weights, share, repeat)
-    plan = spark.createDataFrame(recipe, "source string, source_size long, target double, passes int, rest long, blocks int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = stage_table(in_order(sources).withColumn("weight", weight).drop("place"), "mixing-sources")
+    words, n = sources.agg(F.sum("source_size"), F.count("*")).first()
+    total, level, full = share * (words or 0), 0.0, -1
+    limit = F.col("source_size") * float(repeat)
+    while True:
+        filled = F.lit(level) * F.col("weight") >= limit
+        now, held, open_ = sources.agg(
+            F.count_if(filled), F.sum(F.when(filled, limit).otherwise(0.0)), F.sum(F.when(filled, 0.0).otherwise(F.col("weight")))
+        ).first()
+        if now == full or not open_:
+            break
+        full, level = now, (total - held) / open_
+    return sources.withColumn("target", F.least(F.lit(level) * F.col("weight"), limit)).drop("weight"), total, n
+
+
+def with_shards(quotas: DataFrame, sources: int, shards: int, seed: int) -> DataFrame:
+    """``quotas`` (key, draws) with ``until`` and ``shard``: the draws of a source below
+    until[0] belong to shard[0], and so on."""
+    groups = min(GROUPS, max(1, -(-sources // GROUP_SOURCES)))
+    quotas = quotas.withColumn("group", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(groups)).cast("int"))
+    totals = {r["group"]: r["n"] for r in quotas.groupBy("group").agg(F.sum("draws").alias("n")).collect()}  # <= GROUPS rows
+    names = sorted(totals)
+    # at most GROUPS x MAX_SHARDS numbers
+    parts = dict(zip(names, map(list, zip(*split_quotas([totals[g] for g in names], shards, seed), strict=True)), strict=True))
+
+    def split(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("key")
+        g = int(frame["group"].iloc[0])
+        used = [0] * len(frame)
+        until, owner = [[] for _ in used], [[] for _ in used]
+        for shard, counts in enumerate(split_quotas(frame["draws"].tolist(), parts[g], [seed, g])):
+            for i, n in enumerate(counts):
+                if n:
+                    used[i] += n
+                    until[i].append(used[i])
+                    owner[i].append(shard)
+        return pd.DataFrame({"key": frame["key"].to_numpy(), "until": until, "shard": owner})
+
+    return quotas.groupBy("group").applyInPandas(split, "key string, until array<long>, shard array<int>")
+
+
+def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tie (a hash of the row), source, size,
+    source_size, target and ``draws``, an array of (words to take from the start, shard,
+    part of the shard, place in it)."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # nulls equal, and apart from ''
+    rows = docs.select("doc_id", row_hash(docs).alias("tie"), key.alias("key"), "source", text_size(F.col("text")).alias("size"))
+    rows = stage_table(rows, "mixing-sizes")
+    sources = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    sources, words, n = with_targets(sources, weights, share, repeat)
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    sources = sources.drop("source").withColumn("passes", passes)
+    sources = sources.withColumn("rest", F.rint(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    sources = sources.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int"))
+    sources = stage_table(sources, "mixing-sources")
     block = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), "blocks").cast("int")
+    rows = stage_table(join_per_key(rows, sources, "key", "rows").withColumn("block", block).drop("blocks", "rows"), "mixing-rows")
 
-    sums = _with_source(sized, plan, len(recipe)).withColumn("block", block)
-    sums = sums.groupBy("source", "block", "rest").agg(F.sum("size").alias("block_size"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")
+    sums = rows.groupBy("key", "block", "rest", "passes").agg(F.sum("size").alias("block_size"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "block", F.lit(seed + 1)), "block")
     before = F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_size")
-    blocks = stage_table(
-        sums.select(
-            F.col("source").alias("of_source"), F.col("block").alias("of_block"),
-            (F.row_number().over(order) - 1).alias("turn"),
-            F.greatest(F.lit(0), F.least(F.col("block_size"), F.col("rest") - before)).alias("quota"),
-        ),
-        "mixing-blocks",
-    )
+    quota = F.greatest(F.lit(0), F.least(F.col("block_size"), F.col("rest") - before))
+    blocks = sums.select("key", "block", "passes", (F.row_number().over(order) - 1).alias("turn"), quota.alias("quota"))
+    blocks = stage_table(blocks, "mixing-blocks")
 
     # quotas in draws: every block once per pass, then the blocks of the rest
-    counted = blocks.groupBy("of_source").agg(F.count("*").alias("all"), F.count_if(F.col("quota") > 0).alias("part")).collect()
-    n_blocks = {r["of_source"]: (r["all"], r["part"]) for r in counted}
-    words = share * sum(r[1] for r in recipe)
+    counted = blocks.groupBy("key", "passes").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("quota") > 0).alias("part"))
+    counted = stage_table(counted.withColumn("draws", F.col("passes") * F.col("n_blocks") + F.col("part")), "mixing-quotas")
     shards = shards or int(min(MAX_SHARDS, max(MIN_SHARDS, words // SHARD_WORDS)))
     parts = max(1, int(words // (shards * SHARD_WORDS)))
-    quotas = [r[3] * n_blocks[r[0]][0] + n_blocks[r[0]][1] for r in recipe]
-    owners, used = [[] for _ in recipe], [0] * len(recipe)
-    for shard, counts in enumerate(split_quotas(quotas, shards, seed)):
-        for i, n in enumerate(counts):
-            used[i] += n
-            if n:
-                owners[i].append((used[i], shard))
-    plan = spark.createDataFrame(
-        [(*r, n_blocks[r[0]][0], o) for r, o in zip(recipe, owners, strict=True)],
-        "source string, source_size long, target double, passes int, rest long, blocks int, n_blocks long, owners array<struct<until:long,shard:int>>",
-    )
-    rows = _with_source(rows, plan, len(recipe)).withColumn("block", block)
-    rows = rows.join(blocks, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block")))
-    inside = Window.partitionBy("of_source", "of_block").orderBy(F.xxhash64("doc_id", "tie", F.lit(seed + 2)), "doc_id", "tie")
+    owners = with_shards(counted.select("key", "draws"), n, shards, seed)
+    owners = stage_table(counted.select("key", "n_blocks").join(owners, "key"), "mixing-owners")
+    each = F.transform(F.sequence(F.lit(0), F.col("passes")), lambda p: F.struct(p.alias("pass"), (p * F.col("n_blocks") + F.col("turn")).alias("draw")))
+    each = F.filter(each, lambda d: (d["pass"] < F.col("passes")) | (F.col("quota") > 0))
+    first = lambda d: F.array_position(F.transform("until", lambda u: u > d["draw"]), True).cast("int")
+    each = F.transform(each, lambda d: F.struct(d["pass"], d["draw"], F.element_at("shard", first(d)).alias("shard")))
+    blocks = join_per_key(blocks, owners, "key", "n_blocks").select("key", "block", "quota", each.alias("each"))
+
+    rows = rows.join(blocks, ["key", "block"])
+    inside = Window.partitionBy("key", "block").orderBy(F.xxhash64("doc_id", "tie", F.lit(seed + 2)), "doc_id", "tie")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    copy = F.row_number().over(inside)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - (upto - F.col("size"))))
-    rows = rows.withColumn("part", part)
-    each = F.transform(
-        F.sequence(F.lit(0), F.col("passes")),
-        lambda p: F.struct(
-            (p * F.col("n_blocks") + F.col("turn")).alias("draw"),
-            F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"),
-        ),
-    )
-    shard = lambda d: F.element_at(F.filter("owners", lambda o: o["until"] > d["draw"]), 1)["shard"]
-    each = F.transform(
-        F.filter(each, lambda d: d["words"] > 0),
+    rows = rows.withColumn("cut", part).withColumn("copy", copy)
+    taken = F.transform(
+        "each",
         lambda d: F.struct(
-            d["words"].alias("words"), shard(d).alias("shard"),
-            F.pmod(F.xxhash64("doc_id", "tie", d["draw"], F.lit(seed + 4)), F.lit(parts)).cast("int").alias("part"),
-            F.xxhash64("doc_id", "tie", d["draw"], F.lit(seed + 3)).alias("place"),
+            F.when(d["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("cut")).alias("words"), d["shard"].alias("shard"),
+            F.pmod(F.xxhash64("doc_id", "tie", "copy", d["draw"], F.lit(seed + 4)), F.lit(parts)).cast("int").alias("part"),
+            F.xxhash64("doc_id", "tie", "copy", d["draw"], F.lit(seed + 3)).alias("place"),
         ),
     )
-    return rows.select("doc_id", "source", "size", "source_size", "target", each.alias("draws"), *(["doc"] if carry else []))
+    return rows.select("doc_id", "tie", "source", "size", "source_size", "target", F.filter(taken, lambda d: d["words"] > 0).alias("draws"))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of a whole row (maps have none and are left out)."""
+    return F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with the columns of ``docs``, one row per draw, dealt to
     output shards and ordered at random inside each; a document that is cut keeps
     the words taken from its start (and n_chars follows its text)."""
-    rows = draws(docs, carry=True, **options).select("size", "doc", F.explode("draws").alias("d"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    drawn = draws(docs, **options).where(F.size("draws") > 0).select(own.alias("own"), "tie", "size", "draws")
+    # equal rows are one row here, with the draws of all
+    drawn = drawn.groupBy("own", "tie").agg(F.first("size").alias("size"), F.flatten(F.collect_list("draws")).alias("draws"))
+    whole = docs.select(own.alias("own"), row_hash(docs).alias("tie"), F.struct(*docs.columns).alias("doc"))
+    whole = whole.withColumn("copy", F.row_number().over(Window.partitionBy("own", "tie").orderBy("own"))).where("copy = 1")
+    rows = whole.join(drawn, ["own", "tie"]).select("size", "doc", F.explode("draws").alias("d"))
     # possessive, so that Java matches any number of words without recursion
     first_words = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("d.words").cast("string"), F.lit("}+"))
     kept = F.when(F.col("d.words") >= F.col("size"), F.col("doc.text")).otherwise(

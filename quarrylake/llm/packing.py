@@ -6,7 +6,8 @@ entries whatever the corpus size, and only it reaches the driver.  There a
 linear program chooses how often each pattern of lengths is used: its master
 problem starts from single-length patterns, and an unbounded knapsack solved by
 dynamic programming prices the next pattern from the dual values until no
-pattern can gain more than ``GAP``.  Pattern counts are rounded down, the rest of
+pattern can gain more than ``GAP`` (``UnfinishedPricing`` is warned of with its bound
+should ``MAX_PRICINGS`` come first).  Pattern counts are rounded down, the rest of
 the histogram is packed first-fit by decreasing length, and the patterns are
 handed out to documents by their rank within their length.
 
@@ -20,6 +21,7 @@ are packed once each; an empty table gives no pieces.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,8 @@ END = 0
 CAPACITY = 1024
 #: Stop pricing when the bound shows the program within this share of its optimum.
 GAP = 0.001
-MAX_PRICINGS = 400
+#: Guards against endless exchange of equal columns; the bench needs under 400.
+MAX_PRICINGS = 5000
 #: Rows of one rank bucket, on average; more for very frequent lengths.
 BUCKET_ROWS = 500
 
@@ -40,11 +43,29 @@ PIECE = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc
 # --- tokens ---------------------------------------------------------------
 
 
+class UnfinishedPricing(UserWarning):
+    """Column generation stopped before its bound was met."""
+
+
+def _plain_byte_level(spec) -> bool:
+    """Whether the file's settings are those that ``_encoder``'s pattern stands for."""
+    pre, model, added = spec.get("pre_tokenizer") or {}, spec.get("model") or {}, spec.get("added_tokens") or []
+    return (
+        spec.get("normalizer") is None
+        and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and not model.get("byte_fallback") and not model.get("ignore_merges")
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added)
+        and spec.get("truncation") is None and spec.get("padding") is None
+    )
+
+
 def _encoder(path):
     """Text to ids of a byte-level BPE file, identical to the ``tokenizers`` library.
 
     The ranks are read from that file and given to ``tiktoken``, which applies the
-    same merges several times faster; special tokens in a text keep their ids.
+    same merges several times faster; special tokens in a text keep their ids.  A file
+with other settings than plain byte-level BPE is left to ``tokenizers`` itself.
     """
     import json
 
@@ -52,6 +73,11 @@ def _encoder(path):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not _plain_byte_level(spec):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     # byte-level alphabets write each byte as one printable character
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -154,6 +180,8 @@ def solve_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
             step = ratio[out]
             use = np.maximum(use - step * move, 0)
             use[out] = step
+        else:
+            warnings.warn(f"{MAX_PRICINGS} pricings leave a gap of at most {1 - 1 / value:.4f}", UnfinishedPricing, stacklevel=2)
         for pattern, n in zip(patterns, np.floor(use + 1e-6).astype(int), strict=True):
             n = min([int(n), *(left[x] // k for x, k in pattern.items())])
             if n > 0:

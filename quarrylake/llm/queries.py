@@ -63,8 +63,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = turns.select("conv_id", "turn", "role", "text").union(extra.select("conv_id", "turn", "role", "text"))
     # each row is one turn, also where turn numbers repeat
-    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    log = rows.select("conv_id", seq.alias("seq"), seq.alias("msg"), F.lit("message").alias("event"), "role", "text")
+    msg = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    log = chat.as_events(rows.select("conv_id", msg.alias("msg"), "role", "text"))
     done = chat.render(chat.fold_events(log)).withColumn("formatted", chat.formatted(F.col("segments")))
     back = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -80,7 +80,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
-    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, 20)
+    best = topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, 20)
+    # a score beyond 64 bits is null; its rank is exact all the same
+    return best.select("query_id", "rank", "vec_id", F.expr("try_cast(score as bigint)").alias("score"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,19 @@ keeps the scores at or above each query's floor, at most k per block in final
 order, so that even a floor shared by very many equal vectors gives k rows a
 block; ranks break ties by the smaller vec_id.
 
-Products are taken in float64, which is exact while |q|.|c| sums stay below
-2**53 (checked from the data), and in Python integers beyond.
+Products are taken in float64, which is exact while |q|.|c| sums stay below 2**53
+(checked from the data), and in Python integers beyond; scores are longs while they
+surely fit, else decimal(38, 0).
+
+A block of queries goes to every block of candidates and back, so what is moved is
+rows / ``BLOCK`` + rows / ``QUERY_BLOCK`` times the input; a task holds one pair of
+blocks, and scores ``STEP`` queries of it at a time.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components
-take no part; shorter vectors count as padded with zeros; a candidate with the
-query's own vec_id is never its answer; repeated rows of a vec_id are separate
-candidates, and one query; an empty table gives no rows.
+take no part; components above ``LARGEST`` in size count as that; shorter vectors
+count as padded with zeros; a candidate with the query's own vec_id is never its
+answer; repeated rows of a vec_id are separate candidates, and one query; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
-BLOCK, QUERY_BLOCK = 1024, 256
+BLOCK, QUERY_BLOCK, STEP = 4096, 4096, 256
 BINS = 512
 #: A floor that lets through at most so many times k scores needs no finer bins.
 ENOUGH = 8
+#: Largest component: products of 65,536 of them stay below 10**38.
+LARGEST = 1 << 55
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -38,7 +46,8 @@ def quantised(vectors: DataFrame) -> DataFrame:
     x = F.transform("embedding", lambda e: e.cast("double"))
     fit = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(fit)
-    return rows.select("vec_id", F.transform(x, lambda e: F.floor(e * 64).cast("long")).alias("v"))
+    within = lambda e: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), e * 64))
+    return rows.select("vec_id", F.transform(x, lambda e: F.floor(within(e)).cast("long")).alias("v"))
 
 
 def _packer(dim, kind, extra):
@@ -51,7 +60,7 @@ def _packer(dim, kind, extra):
             m[i, : len(v)] = v
         row = {"b": frame["b"].iloc[:1].to_numpy(), "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "mat": [m.tobytes()]}
         for c in extra:
-            row[c] = [frame[c].to_numpy("<i8").tobytes()]
+            row[c] = [",".join(str(int(x)) for x in frame[c])]
         return pd.DataFrame(row)
 
     return pack
@@ -60,21 +69,27 @@ def _packer(dim, kind, extra):
 def _blocks(rows, size, dim, kind, extra=()):
     n = max(1, -(-rows.count() // size))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
-    schema = "b int, ids binary, mat binary" + "".join(f", {c} binary" for c in extra)
+    schema = "b int, ids binary, mat binary" + "".join(f", {c} string" for c in extra)
     return rows.groupBy("b").applyInPandas(_packer(dim, kind, extra), schema), n
 
 
-def _scores(r, dim, kind, exact):
-    """ids and the score matrix of one block pair; own pairs are masked out."""
+def _scores(q, c, dim, kind, exact):
+    """For ``STEP`` queries at a time of every block pair: their ids, low and width as
+    columns, the candidates' ids, the scores, and which of them count."""
     import numpy as np
 
-    q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-    q, c = np.frombuffer(r["q_mat"], kind).reshape(-1, dim), np.frombuffer(r["mat"], kind).reshape(-1, dim)
-    if exact:
-        s = (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    else:
-        s = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in c] for x in q], np.int64).reshape(len(q), len(c))
-    return q_ids, c_ids, s, q_ids[:, None] != c_ids[None, :]
+    wide = np.int64 if exact else object
+    for q_ids, q_mat, *bins in zip(*(q.column(x).to_pylist() for x in ("q_ids", "q_mat", "low", "width")), strict=True):
+        low, width = (np.array([int(x) for x in b.split(",")], wide)[:, None] for b in bins)
+        q_ids, q_mat = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_mat, kind).reshape(-1, dim)
+        for c_ids, c_mat in zip(c.column("ids").to_pylist(), c.column("mat").to_pylist(), strict=True):
+            c_ids = np.frombuffer(c_ids, "<i8")
+            right = np.frombuffer(c_mat, kind).reshape(-1, dim).astype(float if exact else object).T
+            for a in range(0, len(q_ids), STEP):
+                ids = q_ids[a : a + STEP]
+                left = q_mat[a : a + STEP].astype(float if exact else object)
+                s = (left @ right).astype(wide)
+                yield ids, low[a : a + STEP], width[a : a + STEP], c_ids, s, ids[:, None] != c_ids[None, :]
 
 
 def _histogram(q, c, dim, kind, exact, k):
@@ -82,21 +97,15 @@ def _histogram(q, c, dim, kind, exact, k):
     import numpy as np
     import pyarrow as pa
 
-    out = [[], [], []]
-    for r in ({**x, **y} for x in q.to_pylist() for y in c.to_pylist()):
-        q_ids, _, s, ok = _scores(r, dim, kind, exact)
-        low, width = np.frombuffer(r["low"], "<i8")[:, None], np.frombuffer(r["width"], "<i8")[:, None]
-        at = np.where(ok & (s >= low), np.minimum((s - low) // width, BINS), -1)
-        for i in range(len(q_ids)):
-            n = np.bincount(at[i] + 1, minlength=BINS + 2)[1:]
-            seen = np.flatnonzero(n)[::-1]
-            if len(seen):
-                cum = np.cumsum(n[seen])
-                seen = seen[: int(np.searchsorted(cum, k)) + 1]
-                out[0] += [q_ids[i]] * len(seen)
-                out[1] += seen.tolist()
-                out[2] += n[seen].tolist()
-    return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "bin", "n"])
+    out = [[np.empty(0, np.int64)] for _ in range(3)]
+    for ids, low, width, _, s, ok in _scores(q, c, dim, kind, exact):
+        at = np.where(ok & (s >= low), np.minimum((s - low) // width, BINS), -1).astype(np.int64) + 1
+        flat = (at + np.arange(len(ids))[:, None] * (BINS + 2)).ravel()
+        n = np.bincount(flat, minlength=len(ids) * (BINS + 2)).reshape(len(ids), -1)[:, :0:-1]
+        i, b = np.nonzero((n > 0) & (np.cumsum(n, 1) - n < k))
+        for o, x in zip(out, (ids[i], BINS - b, n[i, b]), strict=True):
+            o.append(x)
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in out], ["query_id", "bin", "n"])
 
 
 def _survivors(q, c, dim, kind, exact, k):
@@ -105,16 +114,19 @@ def _survivors(q, c, dim, kind, exact, k):
     import pyarrow as pa
 
     out = [[], [], []]
-    for r in ({**x, **y} for x in q.to_pylist() for y in c.to_pylist()):
-        q_ids, c_ids, s, ok = _scores(r, dim, kind, exact)
-        low = np.frombuffer(r["low"], "<i8")
-        for i in range(len(q_ids)):
-            j = np.flatnonzero(ok[i] & (s[i] >= low[i]))
-            j = j[np.lexsort((c_ids[j], -s[i][j]))[:k]]
-            out[0] += [q_ids[i]] * len(j)
-            out[1] += c_ids[j].tolist()
-            out[2] += s[i][j].tolist()
-    return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+    for ids, low, _, c_ids, s, ok in _scores(q, c, dim, kind, exact):
+        i, j = np.nonzero(ok & (s >= low))
+        best = s[i, j]
+        if exact:
+            order = np.lexsort((c_ids[j], -best, i))
+        else:
+            order = np.array(sorted(range(len(i)), key=lambda t: (i[t], -best[t], c_ids[j[t]])), np.int64)
+        i, j, best = i[order], j[order], best[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        for o, x in zip(out, (ids[i], c_ids[j], best), strict=True):
+            o += x[place < k].tolist()
+    kinds = [pa.int64(), pa.int64(), pa.string()]
+    return pa.table([pa.array(x, t) for x, t in zip((out[0], out[1], map(str, out[2])), kinds, strict=True)], ["query_id", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
@@ -122,12 +134,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
 
     Both sides are ``quantised`` frames.
     """
-    facts = candidates.select(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    dim, peak = facts[0] or 1, facts[1] or 0
-    facts = queries.select(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    dim, q_peak = max(dim, facts[0] or 1), facts[1] or 0
+    def size(v):  # vectors' length, largest component, largest Euclidean norm
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+        return v.select(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs))), F.max(norm)).first()
+
+    (c_dim, peak, reach), (q_dim, q_peak, _) = size(candidates), size(queries)
+    dim, peak, q_peak = max(1, c_dim or 0, q_dim or 0), peak or 0, q_peak or 0
     bound = dim * peak * q_peak
     exact = bound < 1 << 53
+    number = "long" if bound < 1 << 60 else "decimal(38,0)"
     kind = "<i2" if max(peak, q_peak) < 1 << 15 else "<i8"
 
     blocks, n_blocks = _blocks(candidates, BLOCK, dim, kind)
@@ -141,8 +156,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
         both = left.groupBy("qb", "b").cogroup(right.groupBy("qb", "b"))
         return both.applyInArrow(lambda x, y: score(x, y, dim, kind, exact, k), schema)
 
-    width = max(1, -(-(2 * bound + 1) // BINS))
-    asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(0).cast("long").alias("above"))
+    # no score is larger than the product of the norms
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    most = (norm * F.lit(float(reach or 0)) * (1 + 1e-9) + 1).cast("decimal(38,0)")
+    asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", most.alias("most"))
+    finer = lambda w: F.when(w < float(1 << 50), F.ceil(w / BINS).cast("double")).otherwise(w / BINS * (1 + 1e-9) + 1).cast("decimal(38,0)").cast(number)
+    width = finer(2 * F.col("most").cast("double") + 1)
+    asked = asked.select("vec_id", "v", (-F.col("most")).cast(number).alias("low"), width.alias("width"), F.lit(0).cast("long").alias("above"))
     asked, settled = stage_table(asked, "topk-queries"), []
     while True:
         counts = pairs(asked, _histogram, "query_id long, bin long, n long")
@@ -155,8 +175,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
         state = asked.join(found, "vec_id", "left")
         state = state.select(
             "vec_id", "v",
-            F.when(F.col("bin").isNotNull(), F.col("low") + F.col("bin") * F.col("width")).otherwise(F.col("low")).alias("low"),
-            F.when(F.col("bin").isNotNull(), F.ceil(F.col("width") / BINS).cast("long")).otherwise(F.lit(1)).cast("long").alias("width"),
+            F.when(F.col("bin").isNotNull(), F.col("low") + F.col("bin") * F.col("width")).otherwise(F.col("low")).cast(number).alias("low"),
+            F.when(F.col("bin").isNotNull(), finer(F.col("width").cast("double"))).otherwise(F.lit(1).cast(number)).alias("width"),
             F.coalesce("cum", F.lit(0)).cast("long").alias("above"),
             (F.col("bin").isNull() | (F.col("width") == 1) | (F.col("cum") <= ENOUGH * k)).alias("done"),
         )
@@ -168,7 +188,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     ready = settled[0]
     for s in settled[1:]:
         ready = ready.union(s)
-    kept = pairs(ready, _survivors, "query_id long, vec_id long, score long")
+    kept = pairs(ready, _survivors, "query_id long, vec_id long, score string").withColumn("score", F.col("score").cast(number))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
