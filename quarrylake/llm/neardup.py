@@ -7,8 +7,10 @@ Bands of four registers are compared for equality; pairs of a band are then
 estimated from all registers (corrected for chance collisions) and confirmed on
 the full shingle sets.
 
-Skew.  Equal shingle sets are reduced to their smallest doc_id before banding,
-so copies cost one row each and nothing more.  Links are then looked for in three
+Skew.  Equal shingle sets are one row before banding, whatever their doc_ids, so
+copies cost one row each and nothing more.  Its key orders sets by their smallest
+doc_id and then by the set, so two texts under one doc_id stay two sets.  Buckets,
+clusters and hubs that hold many rows are joined by broadcast (``join_per_key``).  Links are then looked for in three
 rounds, none of which expands a group into all of its pairs:
 
 1. stars: in a band bucket, members are paired with the bucket's smallest member
@@ -30,24 +32,25 @@ one of 32 bands with 1-(1-s**4)**32: over 0.9999999 at 0.8.
 Defined cases: a null or blank text has an empty set, is linked with nothing
 and forms its own class; a text with fewer words than the shingle length has
 one shingle, its whole word sequence; repeated rows (equal doc_id and text) are
-returned once per row with the same class; a null doc_id is kept, with
-component_id null unless its class has another id.
+returned once per row with the same class; different texts under one doc_id are
+linked each by itself; a null doc_id is kept, with component_id null unless its
+class has another id; a row without a set is its own class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import join_per_key, stage_table
 
 REGISTERS = 128
 BAND = 4
 MANTISSA_BITS = 10
 #: Members of a bucket that one task compares with each other at once.
-CHUNK = 2048
+CHUNK = 4096
 #: Members of a cluster whose full texts one task holds at once, on either side.
-TEXT_CHUNK = 256
+TEXT_CHUNK = 512
 #: The estimate has a standard error of 0.036 at 0.8; pairs are dropped unseen
 #: only when it lies this far below the threshold (over four standard errors).
 ESTIMATE_SLACK = 0.15
@@ -115,11 +118,12 @@ def _sign(batches, n):
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("doc_id"),
+                b.column("row_key"),
                 pa.array([k for _, k in rows], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(h.tobytes()) if k else None for h, k in rows], pa.binary()),
                 pa.array([_registers(h) for h, _ in rows], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "set_id", "signature"],
+            ["doc_id", "row_key", "n_shingles", "set_id", "signature"],
         )
 
 
@@ -164,7 +168,8 @@ def _leftover_pairs(frame, least, percent):
 
     frame = frame.sort_values(["band", "lo", "hi"], kind="stable")
     sig = np.frombuffer(b"".join(frame["signature"]), ">u2").astype(np.uint16).reshape(-1, REGISTERS)
-    ids, root, size, chunk = (frame[c].to_numpy() for c in ("id", "root", "n_shingles", "chunk"))
+    ids, names = pd.factorize(frame["id"].map(bytes), sort=True)  # numbers in the order of the keys
+    root, size, chunk = pd.factorize(frame["root"].map(bytes))[0], frame["n_shingles"].to_numpy(), frame["chunk"].to_numpy()
     key = frame[["band", "lo", "hi"]].to_numpy()
     cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(frame)]
     todo, found, waiting = [], set(), 0
@@ -190,16 +195,26 @@ def _leftover_pairs(frame, least, percent):
                 waiting = 0
     if todo:
         flush()
-    return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+    return _named(sorted(found), names)
+
+
+def _named(pairs, names):
+    """Pairs of positions in ``names`` as a frame of keys."""
+    import pandas as pd
+
+    return pd.DataFrame({"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs]}, dtype=object)
 
 
 def _straggler_links(frame, n, least, percent):
     """Links that connect components of clusters: rows of side 0 (stragglers) against
     rows of side 1 (all members) of the same cluster and block."""
+    # a task holds one deal of blocks; ids are numbered in it
     import numpy as np
     import pandas as pd
 
     links, sets = [], {}
+    frame["id"], names = pd.factorize(frame["id"].map(bytes), sort=True)
+    frame["root"], frame["cluster"] = pd.factorize(frame["root"].map(bytes))[0], pd.factorize(frame["cluster"].map(bytes))[0]
     for _, g in frame.groupby(["cluster", "lo", "hi"], sort=False):
         sets.clear()
         for i, t in zip(g["id"], g["text"], strict=True):
@@ -229,7 +244,7 @@ def _straggler_links(frame, n, least, percent):
                 if 100 * both >= percent * (len(own) + size[j] - both):
                     links.append((min(i, ids[j]), max(i, ids[j])))
                     parent[x] = y
-    return pd.DataFrame(sorted(set(links)), columns=["a", "b"]).astype("int64")
+    return _named(sorted(set(links)), names)
 
 
 def _confirm(batches, n, percent):
@@ -253,13 +268,29 @@ def _confirm(batches, n, percent):
 
 
 def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the shingle set) and registers."""
-    return docs.select("doc_id", "text").mapInArrow(
+    """doc_id, row_key (hash of the text), n_shingles, set_id (128-bit hash of the shingle
+    set) and registers."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(
         lambda it: _sign(it, shingle_words),
-        "doc_id long, n_shingles long, set_id binary, signature binary",
+        "doc_id long, row_key long, n_shingles long, set_id binary, signature binary",
     )
 
 
+def set_key(doc_id: Column, set_id: Column) -> Column:
+    """Binary key that sorts by doc_id, null last, and then by the set."""
+    shown = F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.unhex(F.concat(F.when(doc_id.isNull(), "01").otherwise("00"), shown, F.substring(F.hex(set_id), 1, 16)))
+
+
+def doc_id_of(key: Column) -> Column:
+    """The doc_id in a set's key."""
+    shown = F.hex(key)
+    # 16 hexadecimal digits as two unsigned halves
+    half = lambda at: F.conv(F.substring(shown, at, 8), 16, 10).cast("long")
+    value = F.shiftleft(half(3), 32).bitwiseOR(half(11)).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.substring(shown, 1, 2) == "00", value)
+
+
 def star_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(id, root)`` for every id
     in an edge, root being the smallest id reachable.
@@ -273,12 +304,13 @@ def star_components(edges: DataFrame, label: str = "components") -> DataFrame:
     mark = None
     while True:
         both = links.union(links.select("v", "u"))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = stage_table(near.select("u", F.least("u", "m").alias("m"), "n"), label)
+        large = join_per_key(both, near, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = stage_table(large, label)
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = stage_table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), label)
         small = (
-            large.join(near, "u")
+            join_per_key(large, near, "u", "n")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .where("u > v")
             .distinct()
@@ -294,21 +326,28 @@ def star_components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+    """doc_id, row_key (hash of the text), n_shingles, component_id, kept and class_key
+    for every row of ``docs``; rows of one class have equal class_keys, null without a set.
 
     Links are pairs with ``100 * |A & B| >= percent * |A | B|``.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage_table(signatures(docs, shingle_words), "neardup-signed")
     filled = signed.where("n_shingles > 0")
-    firsts = filled.groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    sets = (
-        filled.join(firsts.where("id is not null").withColumnRenamed("set_id", "first_set"), F.expr("doc_id = id and set_id = first_set"))
-        .select("id", "n_shingles", "signature")
-        .dropDuplicates(["id"])
-    )
+    # one row per set: its key, its copies, and where its text is
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n_shingles", "signature")).alias("first")
+    sets = filled.groupBy("set_id").agg(first, F.count("*").alias("copies"))
+    sets = sets.select(set_key(F.col("first.doc_id"), F.col("set_id")).alias("id"), "set_id", "copies", "first.doc_id", "first.row_key", "first.n_shingles", "first.signature")
     sets = stage_table(sets, "neardup-sets")
     least = percent / 100 - ESTIMATE_SLACK
+    again = not signed.groupBy("doc_id", "row_key").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+    def texts(ids: DataFrame) -> DataFrame:
+        """id and text of the sets asked for, stored."""
+        places = sets.join(ids.distinct(), "id").select("id", F.col("doc_id").alias("at_id"), F.col("row_key").alias("at_key"))
+        here = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.xxhash64("text") == F.col("at_key"))
+        found = docs.join(places, here).select("id", "text")
+        return stage_table(found.dropDuplicates(["id"]) if again else found, "neardup-texts")
 
     piece = F.explode(
         F.transform(
@@ -321,61 +360,64 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .where(f"p.v <> {_EMPTY_BAND}")
         .select("id", F.xxhash64("p.k", "p.v").alias("band"))
     )
-    pivots = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = stage_table(bands.join(pivots, "band"), "neardup-bands")  # only buckets that hold more than one set
+    pivots = stage_table(bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"), "neardup-pivots")
+    members = stage_table(join_per_key(bands, pivots, "band", "n"), "neardup-bands")  # only buckets that hold more than one set
 
     star = members.where("id > a").select("a", F.col("id").alias("b")).distinct()
     star = stage_table(_promising(star, sets, least, percent), "neardup-promising")
     clusters = star_components(star)
-    links = stage_table(_confirmed(star, docs, shingle_words, percent), "neardup-links")
+    near = texts(star.select(F.col("a").alias("id")).union(star.select("b")))
+    links = stage_table(_confirmed(star, near, shingle_words, percent), "neardup-links")
     roots = star_components(links)
 
     placed = clusters.withColumnRenamed("root", "cluster").join(roots, "id", "left")
     placed = stage_table(placed.select("id", "cluster", F.coalesce("root", "id").alias("root")), "neardup-clusters")
-    inside = _stragglers(placed, docs, shingle_words, least, percent)
+    inside = _stragglers(placed, near, shingle_words, least, percent)
     links = links.union(stage_table(inside, "neardup-links"))
 
     labelled = members.join(placed.select("id", "cluster"), "id", "left").select("band", "id", "n", F.coalesce("cluster", "id").alias("root"))
-    split = labelled.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    crossed = _leftovers(stage_table(labelled.join(split, "band"), "neardup-open"), sets, least, percent)
-    links = links.union(stage_table(_confirmed(crossed, docs, shingle_words, percent), "neardup-links"))
+    labelled = stage_table(labelled, "neardup-labelled")
+    split = labelled.groupBy("band", "n").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    open_ = join_per_key(labelled.drop("n"), stage_table(split.select("band", "n"), "neardup-split"), "band", "n")
+    crossed = stage_table(_leftovers(stage_table(open_, "neardup-open"), sets, least, percent), "neardup-crossed")
+    far = texts(crossed.select(F.col("a").alias("id")).union(crossed.select("b")))
+    links = links.union(stage_table(_confirmed(crossed, far, shingle_words, percent), "neardup-links"))
     roots = star_components(links)
 
-    of_set = firsts.join(roots, "id", "left").select("set_id", F.coalesce("root", "id").alias("component_id"))
-    return (
-        signed.select("doc_id", "n_shingles", "set_id")
-        .join(of_set, "set_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    of_set = sets.join(roots, "id", "left").select("set_id", "copies", F.coalesce("root", "id").alias("class_key"))
+    of_set = stage_table(of_set, "neardup-classes")
+    columns = ["doc_id", "row_key", "n_shingles"]
+    rows = join_per_key(filled.select(*columns, "set_id"), of_set, "set_id", "copies").select(*columns, doc_id_of(F.col("class_key")).alias("component_id"), "class_key")
+    blank = signed.where("n_shingles = 0").select(*columns, F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("class_key"))
+    return rows.union(blank).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _promising(pairs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     sig = sets.select("id", "n_shingles", "signature")
     rows = pairs.join(sig.toDF("a", "n_a", "sig_a"), "a").join(sig.toDF("b", "n_b", "sig_b"), "b")
-    return rows.mapInArrow(lambda it: _estimate_pairs(it, least, percent), "a long, b long")
+    return rows.mapInArrow(lambda it: _estimate_pairs(it, least, percent), "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    rows = pairs.join(docs.toDF("a", "text_a"), "a").join(docs.toDF("b", "text_b"), "b")
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    rows = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return (
         rows.select("a", "b", "text_a", "text_b")
-        .mapInArrow(lambda it: _confirm(it, n, percent), "a long, b long")
+        .mapInArrow(lambda it: _confirm(it, n, percent), "a binary, b binary")
         .distinct()
     )
 
 
-def _stragglers(placed: DataFrame, docs: DataFrame, n: int, least: float, percent: int) -> DataFrame:
+def _stragglers(placed: DataFrame, texts: DataFrame, n: int, least: float, percent: int) -> DataFrame:
     """Links found between the members of a cluster outside its largest component and
     the rest of the cluster."""
     sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"))
     sizes = sizes.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
     open_ = sizes.where("most.c < all").select(
-        "cluster", F.col("most.root").alias("main"),
+        "cluster", "all", F.col("most.root").alias("main"),
         F.ceil((F.col("all") - F.col("most.c")) / TEXT_CHUNK).cast("int").alias("n_lo"),
         F.ceil(F.col("all") / TEXT_CHUNK).cast("int").alias("n_hi"),
     )
-    rows = stage_table(placed.join(open_, "cluster"), "neardup-stragglers")
+    rows = stage_table(join_per_key(placed, stage_table(open_, "neardup-open"), "cluster", "all"), "neardup-stragglers")
     deals = max(1, rows.count() // TEXT_CHUNK)
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
@@ -383,10 +425,9 @@ def _stragglers(placed: DataFrame, docs: DataFrame, n: int, least: float, percen
     right = F.transform(every("n_lo"), lambda x: F.struct(F.lit(1).alias("side"), x.alias("lo"), own("n_hi").alias("hi")))
     sides = F.when(F.col("root") != F.col("main"), F.concat(left, right)).otherwise(right)
     deal = F.when(F.col("n_hi") > 1, F.xxhash64("cluster", "b.lo", "b.hi")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(deals)))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
     rows = rows.join(texts, "id").select("cluster", "id", "root", "text", "n_hi", F.explode(sides).alias("b"))
     rows = rows.select(deal.alias("deal"), "cluster", "id", "root", "text", "b.side", "b.lo", "b.hi")
-    return rows.groupBy("deal").applyInPandas(lambda f: _straggler_links(f, n, least, percent), "a long, b long").distinct()
+    return rows.groupBy("deal").applyInPandas(lambda f: _straggler_links(f, n, least, percent), "a binary, b binary").distinct()
 
 
 def _leftovers(members: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
@@ -406,6 +447,6 @@ def _leftovers(members: DataFrame, sets: DataFrame, least: float, percent: int)
     return (
         rows.select("deal", "band", "lo", "hi", "chunk", "id", "root", "n_shingles", "signature")
         .groupBy("deal")
-        .applyInPandas(lambda f: _leftover_pairs(f, least, percent), "a long, b long")
+        .applyInPandas(lambda f: _leftover_pairs(f, least, percent), "a binary, b binary")
         .distinct()
     )

@@ -37,11 +37,18 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: the document with the smallest id of each class stays, once."""
-    classes = neardup.near_duplicates(docs, shingle_words=5, percent=80)
-    kept = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    """Near duplicates: one row of each class stays, that with the smallest id."""
+    classes = stage_table(neardup.near_duplicates(docs, shingle_words=5, percent=80), "pipeline-classes")
+    again = not classes.groupBy("doc_id", "row_key").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    # one row of a class: smallest id, then text; a row without a set is its own class
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    kept = classes.where("class_key is not null").groupBy("class_key").agg(first).select("first.doc_id", "first.row_key")
+    kept = kept.union(classes.where("class_key is null").select("doc_id", "row_key").distinct()).toDF("_id", "_row")
+    # only the struct meets the keys, so that columns of any name may be there
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_text"))
+    rows = rows.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_row")))
+    rows = rows.dropDuplicates(["_own", "_text"]) if again else rows
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
