@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,7 +129,9 @@ def apply(data: bytes, steps: list[dict], forward: bool, decoded: int | None = N
         elif name == "swap":
             data = swap(data, size)
         elif name == "crc32c":
-            data = data + crc32c(data).to_bytes(4, "little") if forward else _checked(data)
+            data = data + crc32c(data).to_bytes(4, "little") if forward else _checked(data, crc32c)
+        elif name == "fletcher32":
+            data = data + fletcher32(data).to_bytes(4, "little") if forward else _checked(data, fletcher32)
         else:
             data = codec(name)[0 if forward else 1](data, decoded)
         if len(data) > MAX_CHUNK_BYTES:
@@ -136,32 +139,67 @@ def apply(data: bytes, steps: list[dict], forward: bool, decoded: int | None = N
     return data
 
 
-def _checked(data: bytes) -> bytes:
+def _checked(data: bytes, of) -> bytes:
     body, tail = data[:-4], data[-4:]
-    if crc32c(body).to_bytes(4, "little") != tail:
-        raise InvalidFormat("CRC-32C does not match")
+    if of(body).to_bytes(4, "little") != tail:
+        raise InvalidFormat(f"{of.__name__} does not match")
     return body
 
 
 # --- checksums --------------------------------------------------------------
 
 
+#: Strings of at least so many bytes are cut into lanes that advance together.
+_LANES = 1024
+
+
 def crc32c(data: bytes) -> int:
-    """Castagnoli CRC; a table of the 256 byte steps is built from the polynomial."""
+    """Castagnoli CRC; a table of the 256 byte steps is built from the polynomial.
+
+    A CRC is linear: lanes of a long string are advanced side by side, and neighbours
+    are merged by moving the left one over as many zero bytes as the right one has.
+    """
+    import numpy as np
+
     table = _crc_table()
-    c = 0xFFFFFFFF
-    for b in data:
-        c = table[(c ^ b) & 0xFF] ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+    if len(data) < 8 * _LANES:
+        c = 0xFFFFFFFF
+        for b in data:
+            c = int(table[(c ^ b) & 0xFF]) ^ (c >> 8)
+        return c ^ 0xFFFFFFFF
+    # the start value is the same as flipping the first four bytes; zeros before it change nothing
+    raw = np.frombuffer(data, np.uint8).copy()
+    raw[:4] ^= 0xFF
+    lanes = np.r_[np.zeros(-len(raw) % _LANES, np.uint8), raw].reshape(_LANES, -1)
+    c = np.zeros(_LANES, np.uint32)
+    for k in range(lanes.shape[1]):
+        c = table[(c ^ lanes[:, k]) & 0xFF] ^ (c >> np.uint32(8))
+    # what each bit of a register becomes after a lane of zeros
+    moved = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    for _ in range(lanes.shape[1]):
+        moved = table[moved & 0xFF] ^ (moved >> np.uint32(8))
+    while len(c) > 1:
+        c = _carry(c[::2], moved) ^ c[1::2]
+        moved = _carry(moved, moved)
+    return int(c[0]) ^ 0xFFFFFFFF
+
+
+def _carry(c, moved):
+    """Registers ``c`` under the linear map that sends bit k to ``moved[k]``."""
+    import numpy as np
+
+    bits = (c[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+    return np.bitwise_xor.reduce(np.where(bits == 1, moved[None, :], np.uint32(0)), axis=1)
 
 
-def _crc_table(polynomial: int = 0x82F63B78) -> list[int]:
-    out = []
-    for c in range(256):
-        for _ in range(8):
-            c = (c >> 1) ^ (polynomial if c & 1 else 0)
-        out.append(c)
-    return out
+@lru_cache
+def _crc_table(polynomial: int = 0x82F63B78):
+    import numpy as np
+
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = (c >> np.uint32(1)) ^ np.where(c & 1, np.uint32(polynomial), np.uint32(0))
+    return c
 
 
 def fletcher32(data: bytes) -> int:
@@ -169,8 +207,8 @@ def fletcher32(data: bytes) -> int:
     import numpy as np
 
     w = np.frombuffer(data + b"\0" * (len(data) % 2), "<u2").astype(np.uint64)
-    low = int(w.sum()) % 65535
-    high = int(sum(int(x) * (len(w) - i) for i, x in enumerate(w))) % 65535
+    weight = np.arange(len(w), 0, -1, dtype=np.uint64) % np.uint64(65535)
+    low, high = int(w.sum()) % 65535, int((w * weight).sum()) % 65535
     return high << 16 | low
 
 

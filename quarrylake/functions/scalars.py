@@ -18,8 +18,9 @@ CF_ATTRIBUTES = [
     "missing_value", "valid_min", "valid_max", "valid_range", "coordinates", "axis", "bounds", "cell_methods",
 ]
 TIME_SERIES_TYPES = [
-    "TimeSeries", "ElectricalSeries", "SpatialSeries", "ImageSeries", "AnnotationSeries", "IntervalSeries",
-    "OptogeneticSeries", "PatchClampSeries", "RoiResponseSeries", "TwoPhotonSeries",
+    "TimeSeries", "ElectricalSeries", "SpikeEventSeries", "RoiResponseSeries", "SpatialSeries", "AbstractFeatureSeries",
+    "AnnotationSeries", "IntervalSeries", "DecompositionSeries", "LFP", "ImageSeries", "ImageMaskSeries",
+    "OptogeneticSeries", "PatchClampSeries", "TwoPhotonSeries",
 ]
 FITS_MANDATORY = ["SIMPLE", "BITPIX", "NAXIS", "EXTEND", "END"]
 
@@ -42,7 +43,7 @@ def neurodata_class(s: Column) -> Column:
     return (
         F.when(s.isin(TIME_SERIES_TYPES), "timeseries")
         .when(s.isin("DynamicTable", "Units", "TimeIntervals", "ElectrodeTable"), "table")
-        .when(s.isin("NWBFile", "ProcessingModule", "LFP", "Position", "NWBContainer"), "container")
+        .when(s.isin("NWBFile", "ProcessingModule", "Position", "NWBContainer", "Subject"), "container")
         .otherwise("unknown")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ShapeError
-from .selection import Dim, Hyperslab
+from .selection import ALL, NONE, Dim, Hyperslab, Points, Selection, div, points_frame
 
 
 def grid_shape(shape: Sequence[int], chunk: Sequence[int]) -> list[int]:
@@ -48,7 +48,7 @@ def linear(coords: Sequence[Column], shape: Sequence[int], order: str = "C") ->
 def delinear(index: Column, shape: Sequence[int], order: str = "C") -> list[Column]:
     """Coordinates of a linear index."""
     return [
-        (F.floor(index / F.lit(s)) % F.lit(n)).cast("long") if s > 1 else (index % F.lit(n)).cast("long")
+        (div(index, s) % F.lit(n)).cast("long") if s > 1 else (index % F.lit(n)).cast("long")
         for s, n in zip(strides(shape, order), shape, strict=True)
     ]
 
@@ -72,7 +72,7 @@ def touched_range(d: Dim, chunk: int) -> tuple[int, int] | None:
 
 def _first_at(d: Dim, at: Column) -> Column:
     """Smallest selected index at or after ``at``."""
-    k = F.greatest(F.lit(0), F.ceil((at - (d.start + d.block - 1)) / d.stride)).cast("long")
+    k = div(F.greatest(F.lit(0), at - (d.start + d.block - d.stride)), d.stride)
     return F.when(k < d.count, F.greatest(at, d.start + k * d.stride))
 
 
@@ -93,26 +93,74 @@ def prune(chunks: DataFrame, slab: Hyperslab, chunk: Sequence[int]) -> DataFrame
 
 
 def chunk_slices(chunks: DataFrame, slab: Hyperslab, chunk: Sequence[int]) -> DataFrame:
-    """For a block size of 1: where each touched chunk's elements lie in it and in the
-    output, as ``s*`` (first position in the chunk), ``n*`` (count) and ``t*`` (first
-    output position)."""
-    if any(d.block != 1 for d in slab.dims):
-        raise ShapeError("slices are defined for single-element blocks")
+    """Where each touched chunk's elements lie in it and in the output, as ``s*`` (first
+    position in the chunk), ``n*`` (count), ``d*`` (step in the chunk) and ``t*`` (first
+    output position).
+
+    Single-element blocks give one row per chunk, which steps by the stride; longer
+    blocks give a row per piece of a block in the chunk, which steps by one.
+    """
+    if any(d.overlaps for d in slab.dims):
+        raise ShapeError("slices are defined for blocks that do not overlap")
     rows = prune(chunks, slab, chunk)
     for k, d in enumerate(slab.dims):
-        first = _first_at(d, F.col(f"o{k}"))
-        until = F.least(F.col(f"o{k}") + F.col(f"e{k}") - 1, F.lit(d.last))
-        rows = rows.withColumn(f"s{k}", first - F.col(f"o{k}"))
-        rows = rows.withColumn(f"n{k}", F.floor((until - first) / d.stride).cast("long") + 1)
-        rows = rows.withColumn(f"t{k}", F.floor((first - d.start) / d.stride).cast("long"))
+        origin, beyond = F.col(f"o{k}"), F.col(f"o{k}") + F.col(f"e{k}")
+        if d.block == 1:
+            first = _first_at(d, origin)
+            until = F.least(beyond - 1, F.lit(d.last))
+            rows = rows.withColumn(f"s{k}", first - origin).withColumn(f"n{k}", div(until - first, d.stride) + 1)
+            rows = rows.withColumn(f"d{k}", F.lit(d.stride).cast("long")).withColumn(f"t{k}", div(first - d.start, d.stride))
+            continue
+        low = div(F.greatest(F.lit(0), origin - (d.start + d.block - d.stride)), d.stride)
+        high = F.least(F.lit(d.count - 1).cast("long"), div(beyond - 1 - d.start, d.stride))
+        rows = rows.withColumn("_k", F.explode(F.sequence(low, high)))
+        begin = F.lit(d.start) + F.col("_k") * d.stride
+        first, until = F.greatest(origin, begin), F.least(beyond, begin + d.block)
+        rows = rows.withColumn(f"s{k}", first - origin).withColumn(f"n{k}", until - first).withColumn(f"d{k}", F.lit(1).cast("long"))
+        rows = rows.withColumn(f"t{k}", F.col("_k") * d.block + first - begin).drop("_k")
     return rows
 
 
+def chunk_plan(spark: SparkSession, shape: Sequence[int], chunk: Sequence[int], selection: Selection) -> DataFrame:
+    """The chunks of any selection: slices for all, none and hyperslabs; for points, one
+    row per point with its order, chunk coordinates c* and position p* in the chunk."""
+    if isinstance(selection, Points):
+        coords = [f"i{k}" for k in range(len(shape))]
+        return of_elements(points_frame(spark, selection, coords), coords, chunk).drop(*coords)
+    slab = selection if isinstance(selection, Hyperslab) else Hyperslab.contiguous([0] * len(shape), list(shape))
+    rows = chunk_slices(chunk_table(spark, shape, chunk), slab, chunk)
+    return rows.where(F.lit(False)) if selection == NONE else rows
+
+
+def touched(selection: Selection, shape: Sequence[int], chunk: Sequence[int]) -> list[list[int] | None]:
+    """Chunk coordinates that a selection can touch, by dimension; None for all of them.
+
+    A hyperslab touches exactly the product of these, points touch a part of it.
+    """
+    if selection == ALL:
+        return [None] * len(shape)
+    if selection == NONE:
+        return [[] for _ in shape]
+    if isinstance(selection, Points):
+        return [sorted({p[k] // c for p in selection.coords}) for k, c in enumerate(chunk)]
+    out: list[list[int] | None] = []
+    for d, n, c in zip(selection.dims, shape, chunk, strict=True):
+        if not d.size:
+            out.append([])
+        elif d.start < c and d.last // c == (n - 1) // c and d.stride <= c:
+            out.append(None)
+        elif d.stride <= c:
+            out.append(list(range(d.start // c, d.last // c + 1)))
+        else:  # fewer blocks than chunks
+            out.append(sorted({x for k in range(d.count) for x in range((d.start + k * d.stride) // c, (d.start + k * d.stride + d.block - 1) // c + 1)}))
+    return out
+
+
 def of_elements(df: DataFrame, coords: Sequence[str], chunk: Sequence[int]) -> DataFrame:
     """Adds each element's chunk coordinates c* and position p* in its chunk."""
     return df.select(
         "*",
-        *[F.floor(F.col(i) / c).cast("long").alias(f"c{k}") for k, (i, c) in enumerate(zip(coords, chunk, strict=True))],
+        *[div(F.col(i), c).alias(f"c{k}") for k, (i, c) in enumerate(zip(coords, chunk, strict=True))],
         *[(F.col(i) % c).cast("long").alias(f"p{k}") for k, (i, c) in enumerate(zip(coords, chunk, strict=True))],
     )
 
@@ -126,11 +174,21 @@ def chunk_key(coords: Sequence[Column], version: int = 3, separator: str | None
     return F.concat_ws(sep, *parts) if parts else F.lit("0")
 
 
-def fill_missing(df: DataFrame, spark: SparkSession, shape: Sequence[int], coords: Sequence[str], value: str, fill) -> DataFrame:
-    """Every element of the grid; elements without a row get the fill value."""
-    grid = spark.range(prod(shape)).select(*[c.alias(i) for i, c in zip(coords, delinear(F.col("id"), shape), strict=True)])
+def fill_missing(df: DataFrame, spark: SparkSession, shape: Sequence[int], coords: Sequence[str], value: str, fill, chunk: Sequence[int] | None = None) -> DataFrame:
+    """Every element of the grid; elements without a row get the fill value.
+
+    With ``chunk``, whole chunks are stored or missing: only the missing ones are found,
+    by a join of chunks, and generated.  Otherwise single elements may be missing.
+    """
     kind = df.schema[value].dataType
-    return grid.join(df.select(*coords, value), list(coords), "left").select(*coords, F.coalesce(value, F.lit(fill).cast(kind)).alias(value))
+    if chunk is None:
+        grid = spark.range(prod(shape)).select(*[c.alias(i) for i, c in zip(coords, delinear(F.col("id"), shape), strict=True)])
+        return grid.join(df.select(*coords, value), list(coords), "left").select(*coords, F.coalesce(value, F.lit(fill).cast(kind)).alias(value))
+    at = [f"c{k}" for k in range(len(shape))]
+    lost = chunk_table(spark, shape, chunk).join(of_elements(df.select(*coords), coords, chunk).select(*at).distinct(), at, "left_anti")
+    for k, i in enumerate(coords):
+        lost = lost.withColumn(i, F.explode(F.sequence(F.col(f"o{k}"), F.col(f"o{k}") + F.col(f"e{k}") - 1)))
+    return df.select(*coords, value).unionByName(lost.select(*coords, F.lit(fill).cast(kind).alias(value)))
 
 
 def resize(shape: Sequence[int], unlimited: Sequence[bool], new: Sequence[int]) -> list[int]:

@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 from ..errors import SelectionOutOfBounds, ShapeError, UnsupportedFeature
 
 
+def div(a: Column, b: int) -> Column:
+    """Integer quotient of longs, exact at any size (``/`` goes through doubles)."""
+    return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
+
+
 @dataclass(frozen=True)
 class Dim:
     """``count`` blocks of ``block`` indices, block starts ``stride`` apart."""
@@ -55,7 +60,7 @@ class Dim:
         at = i - F.lit(self.start)
         if self.count == 1:
             return at
-        return F.floor(at / self.stride).cast("long") * self.block + at % self.stride
+        return div(at, self.stride) * self.block + at % self.stride
 
 
 @dataclass(frozen=True)
@@ -154,8 +159,8 @@ def _select_overlapping(df: DataFrame, coords: Sequence[str], slab: Hyperslab) -
     # block b covers index i when start + b*stride <= i < start + b*stride + block
     for k, (c, d) in enumerate(zip(coords, slab.dims, strict=True)):
         at = F.col(c) - F.lit(d.start)
-        first = F.greatest(F.lit(0), F.ceil((at - d.block + 1) / d.stride)).cast("long")
-        last = F.least(F.lit(d.count - 1), F.floor(at / d.stride)).cast("long")
+        first = div(F.greatest(F.lit(0), at - d.block + d.stride), d.stride)
+        last = F.least(F.lit(d.count - 1), div(at, d.stride)).cast("long")
         df = df.where((at >= 0) & (F.col(c) <= F.lit(d.last if d.last is not None else -1)))
         df = df.where(first <= last).withColumn("_b", F.explode(F.sequence(first, last)))
         df = df.withColumn(f"o{k}", F.col("_b") * d.block + at - F.col("_b") * d.stride).drop("_b")

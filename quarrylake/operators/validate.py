@@ -79,9 +79,12 @@ def session_file(nodes: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def dimension_model(dimensions: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Duplicate dimensions of a group, unresolved ones, and rank mismatches.
+    """Duplicate dimensions of a group, unresolved ones, and rank mismatches; unlimited
+    variables without a dimension, and coordinate variables that are not of rank 1 along
+    the dimension of their own name.
 
-    ``dimensions(group, name, size)``; ``bindings(variable, group, rank, dims)``.
+    ``dimensions(group, name, size)``; ``bindings(variable, group, rank, dims)`` with, if
+    known, ``unlimited`` and ``coordinate``.
     """
     twice = dimensions.groupBy("group", "name").agg(F.count("*").alias("n")).where("n > 1")
     rank = bindings.where(F.size("dims") != F.col("rank"))
@@ -92,8 +95,13 @@ def dimension_model(dimensions: DataFrame, bindings: DataFrame) -> DataFrame:
     known = dimensions.select(F.col("group").alias("scope"), F.col("name").alias("dim")).distinct()
     found = reach.join(known, ["scope", "dim"]).select("variable", "dim").distinct()
     lost = used.join(found, ["variable", "dim"], "left_anti")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in bindings.columns else F.lit(False)
+    scalar = bindings.where(flag("unlimited") & (F.size("dims") == 0))
+    apart = bindings.where(flag("coordinate") & ~((F.size("dims") == 1) & F.coalesce(F.get("dims", F.lit(0)) == F.col("variable"), F.lit(False))))
     return (
         _violation(twice, F.col("group"), "duplicate_dimension", F.col("name"))
+        .union(_violation(scalar, F.col("variable"), "unlimited_scalar", F.col("rank")))
+        .union(_violation(apart, F.col("variable"), "not_a_coordinate", F.array_join("dims", ",")))
         .union(_violation(rank, F.col("variable"), "rank_mismatch", F.col("rank")))
         .union(_violation(lost, F.col("variable"), "unresolved_dimension", F.col("dim")))
     )

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder, set
+    to a new one only where the session has none (single machine, tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-quarrylake-"))
+            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get()
+    return str(folder).rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; a folder is set only where the
-    session has none (single machine, tests)."""
+    """``df`` written to the checkpoint folder."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-quarrylake-"))
+    folder = scratch_folder(df.sparkSession)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

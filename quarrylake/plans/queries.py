@@ -6,16 +6,17 @@ hierarchy or a grid, the query builds a small literal catalog for it.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, scalars
 from ..operators import catalog, chunks, ragged, validate
-from ..operators.selection import Dim, Hyperslab, Points, matrix_elements, select, select_points
+from ..operators.selection import Dim, Hyperslab, Points, matrix_elements, points_frame, select, select_points
 from ..sources import files, zarr
 from . import schema
+from .cut import scratch_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,8 +79,10 @@ _POINTS = ((5, 3), (0, 0), (5, 3), (17, 63), (499, 32))
        JOIN embeddings ON vec_id = i0"""
 )
 def sel_points(spark, sf_dir):
-    df = _embeddings(spark, sf_dir).withColumn("i1", F.col("i1").cast("long"))
-    return select_points(df, ["i0", "i1"], Points(_POINTS)).select("ord", "i0", "i1", "value")
+    # rows meet the points first; each point then takes its element
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i0"), "embedding")
+    met = select_points(rows, ["i0"], points_frame(spark, Points(_POINTS), ["i0", "i1"]))
+    return met.select("ord", "i0", "i1", F.get("embedding", F.col("i1").cast("int")).alias("value"))
 
 
 @query(
@@ -134,7 +137,7 @@ def chunk_prune(spark, sf_dir):
 def chunk_fill_missing(spark, sf_dir):
     df = _embeddings(spark, sf_dir).withColumn("i1", F.col("i1").cast("long"))
     stored = chunks.of_elements(df, ["i0", "i1"], [50, 16]).where("(c0 + c1) % 3 <> 0")
-    return chunks.fill_missing(stored, spark, [_vectors(spark, sf_dir), 64], ["i0", "i1"], "value", -1.0)
+    return chunks.fill_missing(stored, spark, [_vectors(spark, sf_dir), 64], ["i0", "i1"], "value", -1.0, [50, 16])
 
 
 @query(
@@ -229,9 +232,8 @@ _CASTS = "('int',32,true,'int',64,true),('int',64,true,'int',32,true),('int',32,
 
 @query(
     f"""SELECT ka, ba, kb, bb, CASE WHEN ka = kb AND ba = bb AND sa = sb THEN 'exact'
-          WHEN ka = 'int' AND kb = 'int' THEN CASE WHEN (sa = sb AND bb > ba) OR (NOT sa AND sb AND bb - 1 >= ba) THEN 'lossless' ELSE 'lossy' END
-          WHEN ka = 'float' AND kb = 'float' THEN CASE WHEN bb > ba THEN 'lossless' ELSE 'lossy' END
-          WHEN ka IN ('int', 'float') AND kb IN ('int', 'float') THEN 'lossy' ELSE 'incompatible' END AS verdict
+          WHEN ka = 'int' AND kb = 'int' AND sa = sb AND bb > ba THEN 'lossless'
+          WHEN ka = 'float' AND kb = 'float' THEN CASE WHEN bb > ba THEN 'lossless' ELSE 'lossy' END ELSE 'incompatible' END AS verdict
         FROM (VALUES {_CASTS}) AS t(ka, ba, sa, kb, bb, sb)"""
 )
 def cast_verdicts(spark, sf_dir):
@@ -372,48 +374,70 @@ def type_ancestor(spark, sf_dir):
 # --- catalogs ---------------------------------------------------------------
 
 
-_NODES = [
-    ("/", None, "", "group", "hard", None),
-    ("/a", "/", "a", "group", "hard", None),
-    ("/a/x", "/a", "x", "dataset", "hard", None),
-    ("/l1", "/", "l1", "link", "soft", "/l2"),
-    ("/l2", "/", "l2", "link", "soft", "a/x"),
-    ("/a/up", "/a", "up", "link", "soft", "x"),
-    ("/gone", "/", "gone", "link", "soft", "/nowhere"),
-    ("/loop", "/", "loop", "link", "soft", "/loop"),
-    ("/far", "/", "far", "link", "soft", "/ext"),
-    ("/ext", "/", "ext", "link", "external", "other.h5"),
-]
-_NODE_COLUMNS = "path string, parent string, name string, node_type string, link_type string, target string"
+def _nodes(spark, sf_dir) -> DataFrame:
+    """Regions hold nations, which hold customers; every order is a soft link, most to
+    its customer, some to another order, to nowhere or to an external node."""
+    region = table(spark, sf_dir, "region").select(F.concat(F.lit("/r"), "r_regionkey").alias("path"), F.lit("/").alias("parent"), F.lit("group").alias("node_type"))
+    nation = table(spark, sf_dir, "nation")
+    home = nation.select("n_nationkey", F.concat(F.lit("/r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("home"), F.concat(F.lit("/r"), "n_regionkey").alias("up"))
+    customer = table(spark, sf_dir, "customer").join(home, F.col("c_nationkey") == F.col("n_nationkey"))
+    at = customer.select("c_custkey", F.concat("home", F.lit("/c"), "c_custkey").alias("at"), "home")
+    nodes = region.union(home.select("home", "up", F.lit("group"))).union(at.select("at", "home", F.lit("dataset")))
+    nodes = nodes.select("path", "parent", F.regexp_extract("path", "[^/]+$", 0).alias("name"), "node_type", F.lit("hard").alias("link_type"), F.lit(None).cast("string").alias("target"))
+    orders = table(spark, sf_dir, "orders").join(at, F.col("o_custkey") == F.col("c_custkey"), "left")
+    key = F.col("o_orderkey")
+    to = F.when(key % 10 == 0, "/nowhere").when(key % 10 == 1, "ext").when(key % 10 == 2, F.concat(F.lit("o"), key)).otherwise(F.col("at"))
+    links = orders.select(F.concat(F.lit("/o"), key).alias("path"), F.lit("/").alias("parent"), F.concat(F.lit("o"), key).alias("name"), F.lit("link"), F.lit("soft"), to)
+    fixed = spark.createDataFrame([("/", None, "", "group", "hard", None), ("/ext", "/", "ext", "link", "external", "other.h5")], nodes.schema)
+    return fixed.union(nodes).union(links)
 
 
 @query(
-    """SELECT * FROM (VALUES ('/l1', '/a/x', 2::BIGINT, 'ok'), ('/l2', '/a/x', 1, 'ok'), ('/a/up', '/a/x', 1, 'ok'),
-         ('/gone', NULL, 1, 'dangling'), ('/loop', NULL, 40, 'too_long'), ('/far', '/ext', 1, 'external')) AS t(path, resolved, hops, status)"""
+    """SELECT '/o' || o_orderkey AS path, CASE WHEN o_orderkey % 10 = 1 THEN '/ext' WHEN o_orderkey % 10 IN (0, 2) OR c_custkey IS NULL THEN NULL
+              ELSE '/r' || n_regionkey || '/n' || n_nationkey || '/c' || c_custkey END AS resolved,
+            (CASE WHEN o_orderkey % 10 = 2 THEN 40 WHEN o_orderkey % 10 > 2 AND c_custkey IS NULL THEN 0 ELSE 1 END)::BIGINT AS hops,
+            CASE WHEN o_orderkey % 10 = 0 THEN 'dangling' WHEN o_orderkey % 10 = 1 THEN 'external' WHEN o_orderkey % 10 = 2 THEN 'too_long'
+              WHEN c_custkey IS NULL THEN 'too_long' ELSE 'ok' END AS status
+       FROM orders LEFT JOIN (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey) ON o_custkey = c_custkey"""
 )
 def soft_link_resolve(spark, sf_dir):
-    return catalog.resolve_links(spark.createDataFrame(_NODES, _NODE_COLUMNS))
+    return catalog.resolve_links(_nodes(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('/', 7::BIGINT), ('/a', 2)) AS t(path, n)")
+@query(
+    """SELECT '/' AS path, (SELECT count(*) FROM region) + (SELECT count(*) FROM orders) + 1 AS n
+       UNION ALL SELECT '/r' || r_regionkey, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) FROM region
+       UNION ALL SELECT '/r' || n_regionkey || '/n' || n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) FROM nation"""
+)
 def group_children(spark, sf_dir):
-    return catalog.child_counts(spark.createDataFrame(_NODES, _NODE_COLUMNS)).select("path", F.col("n").cast("long").alias("n"))
+    return catalog.child_counts(_nodes(spark, sf_dir)).select("path", F.col("n").cast("long").alias("n"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('t', '/m/n', 'time', '/', 100::BIGINT), ('t', '/m/n', 'lat', '/m', 18), ('u', '/', 'lat', '/', 180), ('v', '/m', 'zz', NULL, NULL))
-       AS t(variable, "group", dim, scope, size)"""
+    """SELECT 'v' || c_custkey AS variable, '/r' || n_regionkey || '/n' || n_nationkey AS "group", d AS dim,
+            CASE WHEN d = 'z' THEN NULL WHEN d = 'y' AND n_nationkey % 2 = 0 THEN '/r' || n_regionkey || '/n' || n_nationkey
+              WHEN d = 'x' AND n_regionkey % 2 = 0 THEN '/r' || n_regionkey WHEN d = 'y' THEN NULL ELSE '/' END AS scope,
+            CASE WHEN d = 'z' THEN NULL WHEN d = 'y' AND n_nationkey % 2 = 0 THEN 1000 + n_nationkey
+              WHEN d = 'x' AND n_regionkey % 2 = 0 THEN 100 + n_regionkey WHEN d = 'y' THEN NULL ELSE 7 END::BIGINT AS size
+       FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT unnest(['x', 'y', 'z']) AS d)"""
 )
 def dimension_scope(spark, sf_dir):
-    dims = spark.createDataFrame([("/", "time", 100), ("/", "lat", 180), ("/m", "lat", 18)], "group string, name string, size long")
-    uses = spark.createDataFrame([("t", "/m/n", "time"), ("t", "/m/n", "lat"), ("u", "/", "lat"), ("v", "/m", "zz")], "variable string, group string, dim string")
+    nation = table(spark, sf_dir, "nation").withColumn("group", F.concat(F.lit("/r"), "n_regionkey", F.lit("/n"), "n_nationkey"))
+    region = table(spark, sf_dir, "region").where("r_regionkey % 2 = 0")
+    dims = spark.createDataFrame([("/", "x", 7)], "group string, name string, size long")
+    dims = dims.union(region.select(F.concat(F.lit("/r"), "r_regionkey"), F.lit("x"), F.col("r_regionkey").cast("long") + 100))
+    dims = dims.union(nation.where("n_nationkey % 2 = 0").select("group", F.lit("y"), F.col("n_nationkey").cast("long") + 1000))
+    uses = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    uses = uses.select(F.concat(F.lit("v"), "c_custkey").alias("variable"), "group", F.explode(F.array(*[F.lit(d) for d in "xyz"])).alias("dim"))
     return catalog.dimension_scope(uses, dims)
 
 
-@query("SELECT * FROM (VALUES ('v', 0, 'lat'), ('v', 1, 'd1')) AS t(variable, axis, name)")
+@query("SELECT 'v' || o_orderkey AS variable, k::INT AS axis, CASE WHEN k = 1 OR o_custkey % 4 = 0 THEN 'd' || k ELSE 'c' || o_custkey END AS name FROM orders, (SELECT unnest([0, 1]) AS k)")
 def dimension_scale_names(spark, sf_dir):
-    uses = spark.createDataFrame([("v", 0, 11), ("v", 1, None)], "variable string, axis int, scale long")
-    return catalog.dimension_names(uses, spark.createDataFrame([(11, "lat")], "scale long, name string"))
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("v"), "o_orderkey").alias("variable"), "o_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("axis"))
+    uses = orders.select("variable", "axis", F.when(F.col("axis") == 0, F.col("o_custkey")).alias("scale"))
+    scales = table(spark, sf_dir, "orders").where("o_custkey % 4 <> 0").select(F.col("o_custkey").alias("scale"), F.concat(F.lit("c"), "o_custkey").alias("name")).distinct()
+    return catalog.dimension_names(uses, scales)
 
 
 @query(
@@ -495,9 +519,7 @@ def parquet_row_group_checks(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = (shared or tempfile.mkdtemp(prefix="spark-quarrylake-")).removeprefix("file://")
-    return f"{root}/{tempfile.mktemp(prefix='array-', dir='')}"
+    return f"{scratch_folder(spark)}/array-{uuid.uuid4().hex}"
 
 
 @query("SELECT vec_id AS i0, p AS i1, embedding[p + 1] AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS p) WHERE vec_id % 7 < 3 AND p >= 5 AND p < 45")
@@ -545,17 +567,13 @@ def npy_roundtrip(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("double").alias("value"))
     rows, path = df.select(F.floor(F.col("i") / 256).alias("part"), (F.col("i") % 256).alias("i0"), "value"), _scratch(spark)
 
-    def put(frame):
-        import os
-
+    def pack(frame):
         import pandas as pd
 
-        os.makedirs(path, exist_ok=True)
-        with open(f"{path}/part-{frame['part'].iloc[0]}.npy", "wb") as f:
-            f.write(files.npy_bytes(frame, (int(frame["i0"].max()) + 1,), "<f8"))
-        return pd.DataFrame({"n": [len(frame)]})
+        content = files.npy_bytes(frame, (int(frame["i0"].max()) + 1,), "<f8")
+        return pd.DataFrame({"key": [f"part-{frame['part'].iloc[0]}.npy"], "content": [content]})
 
-    rows.groupBy("part").applyInPandas(put, "n long").count()  # a file for every 256 values
+    zarr.put_objects(rows.groupBy("part").applyInPandas(pack, "key string, content binary"), path)  # a file for every 256 values
     part = F.regexp_extract("file", r"part-([0-9]+)\.npy$", 1).cast("long")
     return files.read_npy(spark, path, "<f8", 1).select((part * 256 + F.col("i0")).alias("i0"), "value")
 
@@ -565,17 +583,12 @@ def fits_table_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("double").alias("v"))
     path = _scratch(spark)
 
-    def put(frame):
-        import os
-
+    def pack(frame):
         import pandas as pd
 
-        os.makedirs(path, exist_ok=True)
-        with open(f"{path}/nation.fits", "wb") as f:
-            f.write(files.fits_table_bytes([("k", "J"), ("v", "D")], frame.sort_values("k")))
-        return pd.DataFrame({"n": [len(frame)]})
+        return pd.DataFrame({"key": ["nation.fits"], "content": [files.fits_table_bytes([("k", "J"), ("v", "D")], frame.sort_values("k"))]})
 
-    rows.groupBy().applyInPandas(put, "n long").count()  # the nation table has 25 rows
+    zarr.put_objects(rows.groupBy().applyInPandas(pack, "key string, content binary"), path)  # the nation table has 25 rows
     return files.read_fits_table(spark, f"{path}/nation.fits", rows=(3, 12))
 
 
@@ -584,3 +597,6 @@ def parquet_footer_facts(spark, sf_dir):
     facts = files.parquet_facts(spark, f"{sf_dir}/nation.parquet")
     per_group = facts.groupBy("file", "row_group").agg(F.first("rows").alias("rows"), F.count("*").alias("n"))
     return per_group.agg(F.lit("nation").alias("name"), F.sum("rows").alias("n_rows"), F.max("n").alias("n_columns"))
+
+
+from . import store_queries  # noqa: E402, F401  (registers its queries here)

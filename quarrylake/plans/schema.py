@@ -125,26 +125,27 @@ def type_class(t: T.DataType) -> tuple[str, int, bool]:
 
 
 def cast_verdict(a: tuple[str, int, bool], b: tuple[str, int, bool]) -> str:
-    """Verdict for storing values of type ``a`` in type ``b``."""
+    """Verdict for storing values of type ``a`` in type ``b``.
+
+    Integers of another sign or of fewer bits are incompatible, as the values that fit
+    cannot be told from the type; a narrower real number is a lossy one.
+    """
     if a == b:
         return "exact"
     if a[0] == b[0] == "int":
-        room = b[1] - (0 if b[2] == a[2] or a[2] else 1)
-        return "lossless" if (a[2] == b[2] and b[1] > a[1]) or (not a[2] and b[2] and room >= a[1]) else "lossy"
+        return "lossless" if a[2] == b[2] and b[1] > a[1] else "incompatible"
     if a[0] == b[0] == "float":
         return "lossless" if b[1] > a[1] else "lossy"
-    return "lossy" if {a[0], b[0]} == {"int", "float"} else "incompatible"
+    return "incompatible"
 
 
 def cast_verdict_column(kind_a: Column, bits_a: Column, signed_a: Column, kind_b: Column, bits_b: Column, signed_b: Column) -> Column:
     """The same verdict over columns."""
     same = (kind_a == kind_b) & (bits_a == bits_b) & (signed_a == signed_b)
-    wider = F.when(signed_a == signed_b, bits_b > bits_a).otherwise(~signed_a & signed_b & (bits_b - 1 >= bits_a))
     return (
         F.when(same, "exact")
-        .when((kind_a == "int") & (kind_b == "int"), F.when(wider, "lossless").otherwise("lossy"))
+        .when((kind_a == "int") & (kind_b == "int") & (signed_a == signed_b) & (bits_b > bits_a), "lossless")
         .when((kind_a == "float") & (kind_b == "float"), F.when(bits_b > bits_a, "lossless").otherwise("lossy"))
-        .when(kind_a.isin("int", "float") & kind_b.isin("int", "float"), "lossy")
         .otherwise("incompatible")
     )
 

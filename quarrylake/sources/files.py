@@ -90,6 +90,17 @@ def npy_bytes(frame, shape, dtype):
     return out.getvalue()
 
 
+def npz_bytes(arrays: dict) -> bytes:
+    """NPZ content of named numpy arrays."""
+    import io
+
+    import numpy as np
+
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
 # --- FITS -------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 One object holds one chunk, so a store maps onto Spark's own file source: array
 metadata is read with ``spark.read`` (any path Spark can open), chunks with
 ``binaryFile``, and decoding is a per-row step in Arrow batches.  A selection
-prunes chunk keys before anything is read.  Missing chunks are filled from the
+becomes a path pattern of the chunks that it touches, so no other object is opened.  Missing chunks are filled from the
 grid, and writing is one task per group of chunks.
 """
 
@@ -15,13 +15,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import prod
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidFormat, NotFound, UnsupportedFeature
 from ..functions import codecs, dtypes
 from ..operators import chunks as grid
-from ..operators.selection import ALL, Hyperslab, Selection, select, validate
+from ..operators.selection import ALL, Hyperslab, Points, Selection, select, validate
+from ..plans.cut import checkpointed
 
 
 @dataclass(frozen=True)
@@ -178,6 +180,35 @@ def _decode(batches, meta, known):
             yield pa.RecordBatch.from_arrays([*cols, pa.array(data).cast(known.field("value").type)], names=[*meta.coords, "value"])
 
 
+#: Chunk coordinates of a dimension are listed in a read's pattern up to so many.
+MAX_LISTED = 4096
+
+
+def _objects(spark: SparkSession, path: str, meta: ArrayMeta, selection: Selection) -> DataFrame:
+    """(key, content) of the stored objects that a selection can touch.
+
+    The pattern names the touched chunk coordinates of each dimension, so other objects
+    are neither listed as input nor opened.
+    """
+    parts = []
+    for at in grid.touched(selection, meta.shape, meta.chunk):
+        if at is not None and not at:
+            return spark.createDataFrame([], "key string, content binary")
+        parts.append("*" if at is None or len(at) > MAX_LISTED else str(at[0]) if len(at) == 1 else "{" + ",".join(map(str, at)) + "}")
+    prefix = ["c"] if meta.version == 3 else []
+    pattern = meta.separator.join([*prefix, *parts]) or "0"
+    try:
+        files = spark.read.format("binaryFile").load(f"{path}/{pattern}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "key string, content binary")
+    digits = r"[0-9]+(?:[./][0-9]+)*" if parts else "0?"
+    key = "c(?:[./]" + digits + ")?" if meta.version == 3 else digits
+    tail = F.regexp_extract("path", re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/(" + key + ")$", 1)
+    return files.withColumn("key", tail).where("key <> ''").select("key", "content")
+
+
 def read_array(spark: SparkSession, path: str, selection: Selection = ALL, fill_missing: bool = True) -> DataFrame:
     """Long form (i0..iN, value) of the selected elements.
 
@@ -192,14 +223,11 @@ def read_array(spark: SparkSession, path: str, selection: Selection = ALL, fill_
     table = grid.chunk_table(spark, meta.shape, meta.chunk)
     if isinstance(selection, Hyperslab):
         table = grid.prune(table, selection, meta.chunk)
+    for k, at in enumerate(grid.touched(selection, meta.shape, meta.chunk) if isinstance(selection, Points) else []):
+        table = table.where(F.col(f"c{k}").isin(at))
     key = grid.chunk_key([F.col(f"c{k}") for k in range(len(meta.shape))], meta.version, meta.separator)
     table = table.withColumn("key", key)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    digits = r"([0-9]+(?:[./][0-9]+)*)$"
-    prefix = "c/" if meta.version == 3 else ""
-    tail = F.regexp_extract("path", re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/(" + prefix + digits[:-1] + ")$", 1)
-    files = files.withColumn("key", tail).where("key <> ''").select("key", "content")
+    files = _objects(spark, path, meta, selection)
     schema = StructType()
     for c in meta.coords:
         schema = schema.add(c, LongType())
@@ -283,39 +311,69 @@ def encode_chunks(df: DataFrame, meta: ArrayMeta) -> DataFrame:
     return rows.groupBy("key").applyInPandas(pack, "key string, content binary")
 
 
+def _put(batches, path):
+    """Writes (key, content) rows as objects of a store: each under a hidden name first,
+    then renamed, so that a reader or a task that runs again never sees half an object."""
+    import uuid
+
+    from pyarrow import fs
+
+    local = path.removeprefix("file://").removeprefix("file:")
+    store, root = fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
+    for b in batches:
+        for row in b.to_pylist():
+            target = f"{root}/{row['key']}"
+            folder, _, name = target.rpartition("/")
+            store.create_dir(folder, recursive=True)
+            hidden = f"{folder}/.{name}-{uuid.uuid4().hex}"
+            with store.open_output_stream(hidden) as f:
+                f.write(row["content"])
+            try:
+                store.move(hidden, target)
+            except OSError:  # some stores do not replace
+                store.delete_file(target)
+                store.move(hidden, target)
+        yield b.select(["key"])
+
+
+def put_objects(objects: DataFrame, path: str) -> int:
+    """Writes rows (key, content) as files below ``path``, by the tasks; their number."""
+    return objects.select("key", "content").mapInArrow(lambda it: _put(it, path), "key string").count()
+
+
 def write_array(df: DataFrame, path: str, meta: ArrayMeta) -> None:
-    """Writes a long-form array as one object per chunk, and its metadata.
+    """Writes a long-form array as one object per chunk, and then its metadata.
 
     Objects are written by the tasks through pyarrow's file systems (local paths and
-    the URIs they know); the driver writes the metadata only.
+    the URIs they know).  The metadata comes last, so that a shape never promises
+    chunks that are still to be written.
     """
+    put_objects(encode_chunks(df, meta), path)
     name, text = _metadata_json(meta)
+    put_objects(df.sparkSession.createDataFrame([(name, bytearray(text.encode()))], "key string, content binary"), path)
 
-    def put(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        for b in batches:
-            for row in b.to_pylist():
-                target = f"{root}/{row['key']}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(target) as f:
-                    f.write(row["content"])
-            yield b.select(["key"])
 
-    written = encode_chunks(df, meta).mapInArrow(put, "key string")
-    meta_row = df.sparkSession.createDataFrame([(name, bytearray(text.encode()))], "key string, content binary")
-    written.union(meta_row.mapInArrow(put, "key string")).count()
+def update_selection(spark: SparkSession, path: str, patch: DataFrame) -> DataFrame:
+    """Read-modify-write: all elements of the chunks that ``patch`` touches, with the
+    patch's values where it has any, also beyond the stored shape.
 
-
-def update_selection(spark: SparkSession, path: str, patch: DataFrame, shape: Sequence[int] | None = None) -> DataFrame:
-    """Read-modify-write: the stored elements of the chunks that ``patch`` touches, with
-    the patch's values where it has any.  Hand the result to ``write_array``."""
+    Only objects in the patch's bounding box of chunks are read.  The rows are stored
+    in the checkpoint folder before they are returned, so they do not change when
+    ``write_array`` replaces those objects.
+    """
     meta = read_meta(spark, path)
     if meta.inner:
         raise UnsupportedFeature("partial writes into shards")
-    old = read_array(spark, path)
+    at = [f"c{k}" for k in range(len(meta.shape))]
+    rows = grid.of_elements(patch.select(*meta.coords, "value"), meta.coords, meta.chunk)
+    ends = rows.agg(*[f(c) for c in at for f in (F.min, F.max)]).first()
     new = patch.select(*meta.coords, F.col("value").alias("_new"))
-    touched = grid.of_elements(patch, meta.coords, meta.chunk).select(*[f"c{k}" for k in range(len(meta.shape))]).distinct()
-    rows = grid.of_elements(old, meta.coords, meta.chunk).join(touched, [f"c{k}" for k in range(len(meta.shape))], "left_semi")
-    return rows.join(new, meta.coords, "left").select(*meta.coords, F.coalesce("_new", "value").alias("value"))
+    if ends[0] is None:
+        return patch.select(*meta.coords, "value")
+    start = [lo * c for lo, c in zip(ends[::2], meta.chunk, strict=True)]
+    stop = [min((hi + 1) * c, n) for hi, c, n in zip(ends[1::2], meta.chunk, meta.shape, strict=True)]
+    if any(a >= b for a, b in zip(start, stop, strict=True)):
+        return checkpointed(patch.select(*meta.coords, "value"))
+    old = read_array(spark, path, Hyperslab.contiguous(start, [b - a for a, b in zip(start, stop, strict=True)]))
+    old = grid.of_elements(old, meta.coords, meta.chunk).join(rows.select(*at).distinct(), at, "left_semi")
+    return checkpointed(old.select(*meta.coords, "value").join(new, meta.coords, "full").select(*meta.coords, F.coalesce("_new", "value").alias("value")))

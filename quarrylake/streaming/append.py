@@ -1,7 +1,10 @@
 """Appending a stream along the unlimited dimension of a chunked array.
 
-Each micro-batch is written as whole chunk objects; a batch that is run again after a
-failure writes the same objects again, so the result is exactly once.
+Each micro-batch replaces the whole objects of the chunks that it touches.  Its rows are
+first merged with those chunks' stored elements into a table in the checkpoint folder,
+then written object by object under hidden names that are renamed, then the grown shape
+is written.  A batch that is run again after a failure at any point merges the same
+elements to the same objects, so the result is exactly once.
 """
 
 from __future__ import annotations
@@ -28,13 +31,7 @@ def append_rows(df: DataFrame, path: str, meta: zarr.ArrayMeta) -> None:
         zarr.write_array(df, path, replace(meta, shape=(last + 1, *meta.shape[1:])))
         return
     grown = replace(old, shape=(max(old.shape[0], last + 1), *old.shape[1:]))
-    # the stored part of the touched chunks stays; new elements win
-    before = zarr.update_selection(spark, path, df.where(F.col("i0") < old.shape[0])) if old.shape[0] else None
-    touched = df.select(F.floor(F.col("i0") / old.chunk[0]).alias("c")).distinct()
-    kept = zarr.read_array(spark, path).withColumn("c", F.floor(F.col("i0") / old.chunk[0])).join(touched, "c", "left_semi").drop("c")
-    kept = (before.unionByName(kept) if before is not None else kept).dropDuplicates(meta.coords)
-    merged = kept.join(df.select(*meta.coords), meta.coords, "left_anti").unionByName(df.select(*meta.coords, "value"))
-    zarr.write_array(merged, path, grown)
+    zarr.write_array(zarr.update_selection(spark, path, df), path, grown)
 
 
 def append_stream(stream: DataFrame, path: str, meta: zarr.ArrayMeta, checkpoint: str) -> StreamingQuery:

@@ -1,3 +1,4 @@
+import functools
 import json
 import math
 
@@ -56,6 +57,54 @@ def test_pruning_keeps_exactly_the_touched_chunks(spark, d, n, c):
     assert sorted(r.c0 for r in rows) == sorted({i // c for i in picked})
 
 
+@pytest.mark.parametrize("d, n, c", [(Dim(5, 11, 9, 4), 120, 9), (Dim(0, 3, 20, 3), 64, 10), (Dim(2, 30, 3, 1), 100, 8), (Dim(7, 1, 1, 50), 90, 16)])
+def test_slices_rebuild_the_selection(spark, d, n, c):
+    picked = [d.start + k * d.stride + b for k in range(d.count) for b in range(d.block)]
+    rows = chunks.chunk_plan(spark, [n], [c], Hyperslab((d,))).collect()
+    got = sorted((r.t0 + j, r.o0 + r.s0 + j * r.d0) for r in rows for j in range(r.n0))
+    assert got == list(enumerate(picked))
+    assert {r.c0 for r in rows} == {i // c for i in picked}
+    assert chunks.touched(Hyperslab((d,)), [n], [c])[0] in (None, sorted({i // c for i in picked}))
+
+
+def test_untouched_objects_are_not_opened(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("i0"), F.lit(0).cast("long").alias("i1"), F.col("id").cast("double").alias("value"))
+    for version, sep in ((2, "."), (2, "/"), (3, "/"), (3, ".")):
+        path = str(tmp_path / f"a{version}{ord(sep)}")
+        zarr.write_array(df, path, zarr.ArrayMeta(version, (100, 1), (10, 1), "<f8", "NaN", "C", sep))
+        got = zarr.read_array(spark, path, Hyperslab((Dim(15, 40, 2, 3), Dim(0, 1, 1))))
+        assert sorted(r.i0 for r in got.collect()) == [15, 16, 17, 55, 56, 57]
+        opened = {p.split(path)[1].strip("/").removeprefix("c").strip("./")[0] for p in got.inputFiles()}
+        assert opened == {"1", "5"}
+        for k in (0, 2, 9):  # what is not touched may be broken
+            name = sep.join((["c"] if version == 3 else []) + [str(k), "0"])
+            (tmp_path / f"a{version}{ord(sep)}" / name).write_bytes(b"x")
+        assert got.count() == 6
+
+
+def test_append_survives_a_failed_write(spark, tmp_path, monkeypatch):
+    from quarrylake.streaming import append
+
+    meta, path = zarr.ArrayMeta(3, (0,), (4,), "<f8", -1.0), str(tmp_path / "a")
+    rows = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("i0"), F.col("id").cast("double").alias("value"))
+    append.append_rows(rows(0, 6), path, meta)
+    whole, calls = zarr.put_objects, []
+
+    def fail(objects, at):
+        calls.append(at)
+        whole(objects.where("key = 'c/1'"), at)  # a part of the objects is there
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(zarr, "put_objects", fail)
+    with pytest.raises(RuntimeError):
+        append.append_rows(rows(6, 11), path, meta)
+    monkeypatch.setattr(zarr, "put_objects", whole)
+    assert [r.value for r in zarr.read_array(spark, path).orderBy("i0").collect()] == [float(i) for i in range(6)]
+    append.append_rows(rows(6, 11), path, meta)  # the batch again
+    assert [r.value for r in zarr.read_array(spark, path).orderBy("i0").collect()] == [float(i) for i in range(11)]
+    assert not list((tmp_path / "a").rglob(".c*")) and not list((tmp_path / "a").rglob(".1*"))
+
+
 def test_grid(spark):
     rows = chunks.chunk_table(spark, [5, 4], [2, 3]).orderBy("linear").collect()
     assert [(r.c0, r.c1) for r in rows] == [(a, b) for a in range(3) for b in range(2)]
@@ -101,6 +150,12 @@ def test_bare_repeated_levels(spark):
 def test_checksums():
     assert codecs.lookup3(b"") == 0xDEADBEEF and codecs.lookup3(b"Four score and seven years ago") == 0x17770551
     assert codecs.crc32c(b"123456789") == 0xE3069283 and codecs.crc32c(b"") == 0
+    plain = lambda data: functools.reduce(lambda c, b: int(codecs._crc_table()[(c ^ b) & 0xFF]) ^ (c >> 8), data, 0xFFFFFFFF) ^ 0xFFFFFFFF
+    for n in (8191, 8192, 10_000, 65_536):
+        data = np.random.default_rng(n).bytes(n)
+        assert codecs.crc32c(data) == plain(data)
+        w = np.frombuffer(data + b"\0" * (n % 2), "<u2").tolist()
+        assert codecs.fletcher32(data) == (sum(x * (len(w) - i) for i, x in enumerate(w)) % 65535) << 16 | sum(w) % 65535
     for data, want in [(b"", 0), (b"\1\2", 0x02010201), (b"\1\2\3\4", 0x08050604), (b"\1\2\3", 0x04050204), (b"\xff", 0x00FF00FF)]:
         assert codecs.fletcher32(data) == want
 

@@ -26,7 +26,7 @@ def test_merge_and_diff():
     assert schema.permits("additive", "add") and not schema.permits("strict", "remove")
 
 
-@pytest.mark.parametrize("a, b, verdict", [("int", "int", "exact"), ("int", "bigint", "lossless"), ("bigint", "int", "lossy"), ("float", "double", "lossless"), ("double", "float", "lossy"), ("int", "double", "lossy"), ("string", "int", "incompatible")])
+@pytest.mark.parametrize("a, b, verdict", [("int", "int", "exact"), ("int", "bigint", "lossless"), ("bigint", "int", "incompatible"), ("float", "double", "lossless"), ("double", "float", "lossy"), ("int", "double", "incompatible"), ("string", "int", "incompatible")])
 def test_verdicts(a, b, verdict):
     ta, tb = (schema.type_class(T._parse_datatype_string(x)) for x in (a, b))
     assert schema.cast_verdict(ta, tb) == verdict
