@@ -3,7 +3,7 @@
 Base spans are the leftmost non-overlapping matches of three patterns.  The
 battery adds spans of kind ``random``: every run of ``MIN_RUN`` or more
 characters of ``[A-Za-z0-9+/_=-]`` outside base spans is a candidate; what a base span
-leaves of a run is tested by itself, and runs of over ``TEST_CHARS`` characters are
+leaves of a run is tested by itself, without signs at its ends, and runs of over ``TEST_CHARS`` characters are
 tested in pieces of even length.  Its encoding is inferred
 from its characters (decimal, hex, base32, lower-case letters and digits, or
 base64), which fixes the alphabet of k symbols and each character's rank, and
@@ -180,11 +180,13 @@ def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame
     rows = stage_table(rows, "secrets-spans")
 
     found = rows.where(F.size("runs") > 0).select("doc_id", "row_key", "base", F.explode("runs").alias("s"))
-    found = found.select("doc_id", "row_key", F.explode(uncovered(F.col("s"), F.col("base"))).alias("s")).where(F.length("s.value") >= MIN_RUN)
-    size, pieces = F.length("s.value"), F.ceil(F.length("s.value") / TEST_CHARS).cast("long")
+    found = found.select("doc_id", "row_key", F.explode(uncovered(F.col("s"), F.col("base"))).alias("s"))
+    # signs at the ends join a key to its neighbours; they say nothing about its encoding
+    found = found.select("doc_id", "row_key", "s", F.regexp_replace("s.value", "^[+/_=-]+|[+/_-]+$", "").alias("inner")).where(F.length("inner") >= MIN_RUN)
+    size, pieces = F.length("inner"), F.ceil(F.length("inner") / TEST_CHARS).cast("long")
     cut = lambda i: F.call_function("div", i * size, pieces).cast("int")
     found = found.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-    piece = F.substring("s.value", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i")))
+    piece = F.substring("inner", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i")))
     found = found.select("doc_id", "row_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), piece.alias("value"))
     tested = stage_table(battery(found).where("n >= 2"), "secrets-tested")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm import fingerprints, langid, licenses, mixing, neardup, packing, pii, secrets
 from quarrylake.llm import pipeline_stages as stages
+from quarrylake.llm import queries as q
 from quarrylake.llm.queries import tokenizer_path
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -15,7 +16,7 @@ ROWS = [
     (5, LONG, "en", "a", len(LONG)), (6, "x", "fr", "c", 1), (7, "le chat est sur la table avec le chien", "fr", "c", 38),
     (8, "12345 67890", None, "c", 11), (9, "le chat est sur la table avec le chien", None, "c", 38),
 ]
-EXTRA = ["id", "size", "base", "doc", "kept", "kept_id", "hit_id", "spans", "words", "row_key", "block", "draws", "rank", "n", "root", "at", "bucket", "lang_pred", "score", "t"]
+EXTRA = ["id", "size", "base", "doc", "kept", "kept_id", "hit_id", "spans", "words", "row_key", "block", "draws", "rank", "n", "root", "at", "bucket", "lang_pred", "score", "t", "_kept_id", "_doc", "_own", "_text", "_id", "copy", "own", "tie", "key", "part", "h", "class_key"]
 
 
 @pytest.fixture(params=["rows", "empty"])
@@ -50,6 +51,40 @@ def test_licenses(docs):
     assert licenses.scan(docs).collect() == []
 
 
+TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, 2, "user", None), (2, None, None, None), (None, 0, "assistant", "</s>"),
+    (3, 0, "assistant", LONG), (3, 1, "user", ""),
+]
+
+
+@pytest.mark.parametrize("rows", [TURNS, []])
+def test_chat_query(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *[F.lit("extra").alias(c) for c in EXTRA + ["msg", "seq", "event", "e", "at"] if c != "at"])
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in q.op8_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got[-1].n_turns == 2
+    if rows:
+        assert {c: r.n_turns for c, r in got.items()} == {1: 4, 2: 1, None: 1, 3: 2, -1: 2}
+        assert got[3].loss_chars == len(LONG) and got[1].loss_chars == 4 and got[None].loss_chars == 4
+
+
+VECTORS = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, [1e12, -1e12]), (21, None), (22, []), (None, [1.0]), (23, [0.5]), (24, [None, 1.0]), (25, [float("nan")]), (40, [1.0] * 5000)]
+
+
+@pytest.mark.parametrize("rows", [VECTORS, []])
+def test_top_k_query(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *[F.lit("extra").alias(c) for c in EXTRA + ["v", "low", "width", "b"]])
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = q.op9_exact_topk(spark, str(tmp_path)).collect()
+    if not rows:
+        assert got == []
+        return
+    ranks = {}
+    for r in got:
+        ranks.setdefault(r.query_id, []).append(r["rank"])
+    assert {i: sorted(x) for i, x in ranks.items()} == {0: [1, 2, 3, 4], 20: [1, 2, 3, 4, 5], 40: [1, 2, 3, 4, 5]}
+
+
 @pytest.mark.parametrize("stage", [stages.keep_identified, stages.keep_one_of_each_class, stages.redact_secrets, stages.mix_sources])
 def test_stages_keep_the_columns(spark, docs, stage):
     out = stage(spark, docs, "")
@@ -57,3 +92,9 @@ def test_stages_keep_the_columns(spark, docs, stage):
     rows = out.collect()
     if docs.count() and stage is stages.keep_one_of_each_class:
         assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_packing_stage(spark, docs):
+    rows = stages.pack_sequences(spark, docs, "").collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    assert not rows or sum(r.length for r in rows if r.doc_id == 2) == 1

@@ -80,6 +80,41 @@ def test_disclosing_terms_everywhere(spark):
     assert not any(w in t for t in clean.values() for w in ("zyxelquark", "vornholm", "grelmian", "@"))
 
 
+def test_disclosing_terms_against_brute_force(spark, docs):
+    texts = [t for _, t, _, _ in docs]
+    texts += [f"{t} mail agent{i % 3}@corp.example.com about Quellmark{i % 3} now" for i, t in enumerate(texts[:9])]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute.term_spans(texts)
+    assert [sorted((s.start, s.end) for s in got[i].added) for i in range(len(texts))] == want
+    for i in range(9):
+        assert f"Quellmark{i % 3}" in [texts[len(docs) + i][s:e] for s, e in want[len(docs) + i]]
+
+
+def test_added_secrets_against_brute_force(spark, docs):
+    """Tokens planted into the driver's documents, some touching a base span."""
+    rng = np.random.default_rng(3)
+    texts = [t or "" for _, t, _, _ in docs]
+    for i in range(30):
+        enc, n = [("b64", 40), ("b36", 40), ("hexu", 48), ("b32", 44), ("b64", 700), ("b36", 24)][i % 6]
+        token = "".join(rng.choice(list(secrets.ALPHABETS[enc]), n))
+        texts[i * 5] += [f" key {token} end", f" AKIA{'Z' * 20}/{token}", f" {token}+0123456789abcdef0123"][i % 3]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute.random_spans(texts, secrets.ALPHABETS, "".join(licenses.TEMPLATES.values()))
+    assert [sorted((s.start, s.end) for s in got[i].added) for i in range(len(texts))] == want
+    assert all(want[i * 5] for i in range(30) if i % 6 != 5)  # keys of 24 characters may say too little
+    assert not any(x for i, x in enumerate(want) if i % 5 or i >= 150)
+
+
+@pytest.mark.parametrize("n", [1, 5])
+@pytest.mark.parametrize("around", [0, 120])
+def test_few_tokens(spark, n, around):
+    rng = np.random.default_rng(n)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    rows = [(i, "".join(rng.choice(letters, 60))) for i in range(n)] + [(100 + i, f"the word donaudampfschifffahrtsgesellschaft {i}") for i in range(around)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(bool(r.added) for r in got if r.doc_id < 100) == n and not any(r.added for r in got if r.doc_id >= 100)
+
+
 def test_random_tokens(spark):
     rng = np.random.default_rng(1)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
@@ -171,7 +206,7 @@ def test_mixing(spark, sf_dir, docs):
     assert all(rows[d].size == size[d] and rows[d].source_size == per[s] and rows[d].taken <= 2 * size[d] for d, _, s, _ in docs)
     assert all(abs(taken[s] - target[s]) <= 1 for s in per)
     names = sorted(per)
-    want = mixing.fill_targets([per[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(per.values()))
+    want = brute.targets([per[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(per.values()))
     assert [target[s] for s in names] == pytest.approx(want)
     assert sum(want) == pytest.approx(1.5 * sum(per.values()))
 
@@ -180,6 +215,8 @@ def test_splitting_tree_keeps_quotas():
     counts = mixing.split_quotas([100, 7, 0, 33], 5)
     assert np.sum(counts, 0).tolist() == [100, 7, 0, 33]
     assert max(map(sum, counts)) - min(map(sum, counts)) <= 3
+    sizes = mixing.split_quotas([10**12, 3 * 10**9, 5], [10**11, 9 * 10**11, 3 * 10**9 + 5])  # beyond numpy's draws
+    assert np.sum(sizes, 0).tolist() == [10**12, 3 * 10**9, 5] and list(map(sum, sizes)) == [10**11, 9 * 10**11, 3 * 10**9 + 5]
     assert mixing.split_quotas([100, 7, 0, 33], 5) == counts
 
 
@@ -204,6 +241,55 @@ def test_fingerprints(spark, sf_dir, docs):
     assert np.mean([r.near_edited for r in rows.values()]) > 3 * np.mean([r.near_next for r in rows.values()])
 
 
+def test_fingerprints_against_brute_force(spark, sf_dir, docs):
+    rows = {r.doc_id: r for r in q.op5_imatch_fingerprints(spark, sf_dir).collect()}
+    of = brute.imatch([t for _, t, _, _ in docs], fingerprints.GROUPS, fingerprints.LEVELS, fingerprints.DIGITS)
+    like = lambda a, b: brute.likeness(a, b, fingerprints.GROUPS, fingerprints.LEVELS, fingerprints.DIGITS)
+    order = sorted(docs, reverse=True)
+    for i, (d, t, _, _) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        k = len(t) // 3
+        r, own, edited, following = rows[d], of(t), of(t[: len(t) - k] + after[:k]), of(after)
+        assert (r.fingerprint, r.edited_fingerprint) == (own, edited)
+        assert r.near_edited == pytest.approx(like(own, edited)) and r.near_next == pytest.approx(like(own, following))
+
+
+def test_fingerprints_of_any_ids(spark, monkeypatch):
+    """Ids over the whole range of longs, one id in many rows, null ids; small ranges; a joined lexicon."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    ids = [-(2**63), 2**63 - 1, 0, *range(40), *[77] * 30, *[None] * 20]
+    texts = [f"text number {i} about w{i % 7} and w{i % 5} and v{i % 11} " * 3 for i in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    rows = fingerprints.compare_with_next(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((d is None, d or 0) for d in ids)
+    sure = sorted((d for d in ids if d is not None and ids.count(d) == 1), reverse=True)
+    own = {d: t for d, t in zip(ids, texts, strict=True)}
+    by = {r.doc_id: r for r in rows}
+    for a, b in zip(sure, sure[1:], strict=False):
+        if not any(b < d < a for d in ids if d is not None):
+            k = len(own[a]) // 3
+            assert by[a].edited_sha256 == brute.sha(own[a][: len(own[a]) - k] + own[b][:k])
+    # every row is the next one of exactly one row
+    heads = collections.Counter(brute.sha(a[: len(a) - len(a) // 3] + b[: len(a) // 3]) for a in texts for b in set(texts))
+    assert all(r.edited_sha256 in heads for r in rows)
+    monkeypatch.setattr(fingerprints, "TABLE_TERMS", 0)
+    key = lambda r: (str(r.doc_id), r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next)
+    assert sorted(map(key, fingerprints.compare_with_next(df).collect())) == sorted(map(key, rows))
+
+
+def test_many_languages(spark, monkeypatch):
+    """Rare languages are learned too, whatever their number."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(30):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7, replace=False)
+        for _ in range(12 if k else 200):
+            rows.append((len(rows), " ".join("".join(rng.choice(letters, 6)) for _ in range(40)), f"l{k}"))
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in held]) > 0.9 and len({r.lang_pred for r in held}) > 25
+
+
 def test_language(spark, sf_dir, docs):
     rows = {r.doc_id: r for r in q.op6_language_id(spark, sf_dir).collect()}
     held = [(d, lang) for d, _, _, lang in docs if zlib.crc32(str(d).encode()) % 5 == 0]
@@ -237,6 +323,21 @@ def test_event_folding(spark):
     assert done.where("conv_id is null").first().text == ""
 
 
+def test_log_of_the_query_folds_back(spark):
+    rows = [(c, m, "assistant" if m % 2 else "user", f"text {c} of {m} " * (m % 5)) for c in range(40) for m in range(1, 12)] + [(None, 1, None, None)]
+    log = chat.as_events(spark.createDataFrame(rows, "conv_id long, msg int, role string, text string"))
+    assert {r.event for r in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    back = chat.fold_events(log).collect()
+    assert sorted((str(r.conv_id), r.msg, r.role, r.text) for r in back) == sorted((str(c), m, r or "", t or "") for c, m, r, t in rows)
+
+
+def test_one_long_conversation(spark):
+    """40,000 events of one conversation, folded in one pass."""
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("msg"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    back = chat.fold_events(chat.as_events(rows))
+    assert back.agg(F.count("*"), F.count_if(F.col("text") == F.concat(F.lit("t"), "msg"))).first() == (20_000, 20_000)
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<|end|>", "a<|turn|>\\<", "</s>[INST]x[/INST]<<SYS>>", "\\<|\\\\|>[INST", "é😀\n<"])
 def test_escape_round_trip(spark, text):
     row = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, text, text)], "conv_id long, msg long, role string, text string")
@@ -267,6 +368,27 @@ def test_top_k_ties_and_bad_vectors(spark):
     assert topk.top_k(v.where("vec_id = -1"), v, 5).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.choice([-1e9, 1e9, 3.5, 2.25e9], 8).tolist()) for i in range(60)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(v.where("vec_id % 20 = 0"), v, 5).collect()
+    m = {i: [int(np.floor(64 * x)) for x in r] for i, r in rows}
+    for i in range(0, 60, 20):
+        want = sorted((-sum(a * b for a, b in zip(m[i], m[j], strict=True)), j) for j in m if j != i)[:5]
+        assert [(-int(r.score), r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] == want
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, b + " c"), (3, a + " c"), (4, b + " d"), (5, a + " d"), (None, a + " e"), (None, "x y"), (9, "x y"), (-5, "x  y")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    found = sorted((str(r.doc_id), r.component_id) for r in got)
+    assert found == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("4", 1), ("5", 1), ("None", 1), ("None", -5), ("9", -5), ("-5", -5)])
+    classes = {(r.doc_id, r.row_key): r.class_key for r in got}
+    assert len(set(map(bytes, classes.values()))) == 3  # the texts of doc 1 are two classes
+
+
 def test_near_duplicates(spark, sf_dir, docs):
     rows = {r.doc_id: r for r in q.op10_minhash_near_dedup(spark, sf_dir).collect()}
     want = brute.classes([(d, t) for d, t, _, _ in docs], 4)
@@ -306,6 +428,26 @@ def test_licenses(spark):
     assert got == [(1, "MIT/notice"), (2, "GPL-3.0/statement"), (6, "MIT/notice"), (7, "MIT/statement")]
 
 
+def test_licenses_at_every_offset(spark):
+    """A long notice whole, with one word changed, and edited down to the containment, after 0 to 2 steps of words."""
+    mit = licenses.template_words(licenses.TEMPLATES["MIT/notice"])
+    m, rows = len(mit), []
+    every = licenses.template_shingles(mit)
+    for k in range(2 * (m // 8) + 1):
+        lead = [f"x{i}" for i in range(k)]
+        for n_edits in (0, 1, 3):
+            words = list(mit)
+            for j in range(n_edits):
+                words[(k * 7 + j * (m // 3)) % m] = "zz"
+            share = len(set(licenses.template_shingles(words)) & set(every)) / len(every)
+            rows.append((len(rows), " ".join([*lead, *words, "tail", "words"]), share, k))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect() if r.template == "MIT/notice"}
+    want = [r for r in rows if r[2] >= licenses.CONTAINMENT]
+    assert len(want) > len(rows) / 2 and set(got) == {r[0] for r in want}
+    assert all(got[r[0]].start == r[3] and got[r[0]].n_words == m for r in want if r[2] == 1)
+
+
 def test_adjacent_licenses(spark):
     mit, cc = licenses.TEMPLATES["MIT/notice"], licenses.TEMPLATES["CC-BY-4.0/short"]
     lead = [" ".join(f"w{i}" for i in range(k)) for k in range(24)]

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quarrylake.llm import mixing
+from quarrylake.llm import licenses, mixing, secrets
 from quarrylake.llm import queries as q
 
 from . import brute
@@ -38,18 +38,28 @@ def test_one_document_of_each_class_stays(stages):
     assert sorted(r.doc_id for r in stages[2]) == sorted({c for _, c in classes.values()})
 
 
-def test_secrets_are_replaced(stages):
+def test_secrets_are_replaced(spark, stages):
     before = {r.doc_id: r.text for r in stages[2]}
     assert len(stages[3]) == len(before)
+    order = sorted(before)
+    added = dict(zip(order, brute.random_spans([before[d] for d in order], secrets.ALPHABETS, "".join(licenses.TEMPLATES.values())), strict=True))
     for r in stages[3]:
         text, at, want = before[r.doc_id], 0, ""
-        for s, _, e, _ in sorted(brute.secret_spans(text)):
+        for s, e in sorted([(s, e) for s, _, e, _ in brute.secret_spans(text)] + added.get(r.doc_id, [])):
             if s >= at:
                 want += text[at:s] + "[SECRET]"
             at = max(at, e)
         assert r.text == want + text[at:] and r.n_chars == len(r.text)
 
 
+def test_added_secrets_are_replaced(spark, sf_dir):
+    rng = np.random.default_rng(9)
+    key = ["".join(rng.choice(list(secrets.ALPHABETS["b64"]), 60)) for _ in range(5)]
+    df = spark.createDataFrame([(i, f"see {k} here", "en", "a", 70) for i, k in enumerate(key)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["secret_scans"](spark, df, sf_dir).collect()
+    assert [(r.text, r.n_chars) for r in out] == [("see [SECRET] here", 17)] * 5
+
+
 def test_the_mix_meets_its_targets(stages):
     words = lambda t: len(brute.WORD.findall(t or ""))
     size, taken = collections.Counter(), collections.Counter()
@@ -60,7 +70,7 @@ def test_the_mix_meets_its_targets(stages):
         assert texts[r.doc_id].startswith(r.text)
         taken[r.source] += words(r.text)
     names = sorted(size)
-    target = mixing.fill_targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(size.values()))
+    target = brute.targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(size.values()))
     assert all(abs(taken[s] - t) <= 1 for s, t in zip(names, target, strict=True))
 
 
