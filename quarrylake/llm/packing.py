@@ -5,8 +5,8 @@ Spark counts the remainders by length; the histogram has at most ``capacity``
 entries whatever the corpus size, and only it reaches the driver.  There a
 linear program chooses how often each pattern of lengths is used: its master
 problem starts from single-length patterns, and an unbounded knapsack solved by
-dynamic programming prices the next pattern from the dual values until no
-pattern can gain more than ``GAP`` (``UnfinishedPricing`` is warned of with its bound
+dynamic programming prices the next pattern from the dual values until the program
+is within ``GAP`` of a lower bound, from the duals or from the tokens (``UnfinishedPricing`` is warned of with its bound
 should ``MAX_PRICINGS`` come first).  Pattern counts are rounded down, the rest of
 the histogram is packed first-fit by decreasing length, and the patterns are
 handed out to documents by their rank within their length.
@@ -30,10 +30,10 @@ from .common import stage_table
 
 END = 0
 CAPACITY = 1024
-#: Stop pricing when the bound shows the program within this share of its optimum.
-GAP = 0.001
-#: Guards against endless exchange of equal columns; the bench needs under 400.
-MAX_PRICINGS = 5000
+#: Stop pricing when the program is surely within this share, or one sequence, of its optimum.
+GAP = 0.0002
+#: The last pricings gain ever less; beyond so many the gap that is left is warned of.
+MAX_PRICINGS = 400
 #: Rows of one rank bucket, on average; more for very frequent lengths.
 BUCKET_ROWS = 500
 
@@ -162,10 +162,12 @@ def solve_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
         patterns, columns = _greedy_basis(lengths, need, capacity)
         inverse = np.linalg.inv(columns)
         use = np.maximum(inverse @ need, 0)
+        # two lower bounds of the program: all tokens in full sequences, and the priced duals
+        bound = float(lengths @ need) / capacity
         for _ in range(MAX_PRICINGS):
-            dual = inverse.sum(0)
-            value, pattern = price_pattern(dual, lengths, capacity)
-            if value <= 1 + GAP or use.sum() * (value - 1) <= 0.5:
+            value, pattern = price_pattern(inverse.sum(0), lengths, capacity)
+            bound = max(bound, use.sum() / max(value, 1.0))
+            if use.sum() - bound <= max(1.0, GAP * bound):
                 break
             column = np.zeros(len(lengths))
             for x, n in pattern.items():
@@ -181,7 +183,7 @@ def solve_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
             use = np.maximum(use - step * move, 0)
             use[out] = step
         else:
-            warnings.warn(f"{MAX_PRICINGS} pricings leave a gap of at most {1 - 1 / value:.4f}", UnfinishedPricing, stacklevel=2)
+            warnings.warn(f"{MAX_PRICINGS} pricings leave a gap of at most {1 - bound / use.sum():.4f}", UnfinishedPricing, stacklevel=2)
         for pattern, n in zip(patterns, np.floor(use + 1e-6).astype(int), strict=True):
             n = min([int(n), *(left[x] // k for x, k in pattern.items())])
             if n > 0:
