@@ -75,7 +75,9 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> D
     are broadcast; the others are joined by shuffle.  Both frames are read more than
     once and should be stored tables or cheap.
     """
-    total = per_key.agg(F.sum(F.col(count).cast("double"))).first()[0] or 0.0
+    total, keys = per_key.agg(F.sum(F.col(count).cast("double")), F.count("*")).first()
+    if keys <= FREQUENT:
+        return rows.join(F.broadcast(per_key), key)
     frequent = F.col(count) * FREQUENT >= total
     rest = per_key.where(~frequent)
     hot = F.broadcast(per_key.where(frequent))
