@@ -287,3 +287,15 @@ def test_fits_image(spark, tmp_path):
     (tmp_path / "i.fits").write_bytes(head.encode() + a.tobytes().ljust(2880, b"\0"))
     got = files.read_fits_image(spark, str(tmp_path / "i.fits"), selection=Hyperslab.contiguous([1, 1], [1, 2])).collect()
     assert sorted((r.i0, r.i1, r.value) for r in got) == [(1, 1, 5), (1, 2, 6)]
+
+
+def test_footers_without_contents(spark, sf_dir, tmp_path):
+    spark.range(50_000).selectExpr("id", "array(id, id + 1) as v").repartition(2).write.parquet(str(tmp_path / "a b%20"))
+    facts = files.parquet_facts(spark, str(tmp_path / "a b%20"))
+    assert "ReadSchema: struct<path:string>" in facts._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r.column, r.row_group, r.rows, r["values"], r.bytes, r.codec) for r in facts.collect())
+    assert [(c, g, n) for c, g, n, *_ in want] == [("id", 0, 25_000)] * 2 + [("v.list.element", 0, 25_000)] * 2
+    # a store that only Spark reads
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.footers.link./in", f"file://{tmp_path}")
+    far = files.parquet_facts(spark, "viewfs://footers/in/a b%20")
+    assert sorted((r.column, r.row_group, r.rows, r["values"], r.bytes, r.codec) for r in far.collect()) == want
