@@ -100,5 +100,8 @@ def dimension_names(variables: DataFrame, scales: DataFrame) -> DataFrame:
 
     ``variables(variable, axis, scale)``; ``scales(scale, name)``.
     """
-    rows = variables.join(scales, "scale", "left")
-    return rows.select("variable", "axis", F.coalesce("name", F.concat(F.lit("d"), F.col("axis").cast("string"))).alias("name"))
+    default = F.concat(F.lit("d"), F.col("axis").cast("string"))
+    bound = variables.where("scale is not null").join(scales, "scale", "left")
+    # axes without a scale stay out of the join, where their one key would meet in a task
+    lone = variables.where("scale is null").select("variable", "axis", default.alias("name"))
+    return bound.select("variable", "axis", F.coalesce("name", default).alias("name")).union(lone)

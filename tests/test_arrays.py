@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylake import errors
 from quarrylake.functions import codecs, dtypes
-from quarrylake.operators import chunks, ragged, selection
+from quarrylake.operators import catalog, chunks, ragged, selection
 from quarrylake.operators.selection import ALL, NONE, Dim, Hyperslab, Points, select
 from quarrylake.sources import files, zarr
 
@@ -299,3 +299,17 @@ def test_footers_without_contents(spark, sf_dir, tmp_path):
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.footers.link./in", f"file://{tmp_path}")
     far = files.parquet_facts(spark, "viewfs://footers/in/a b%20")
     assert sorted((r.column, r.row_group, r.rows, r["values"], r.bytes, r.codec) for r in far.collect()) == want
+
+
+def test_axes_without_a_scale_are_not_joined(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("concat('v', id) as variable", "cast(id % 2 as int) as axis", "if(id % 2 = 0, id % 6, null) as scale")
+    scales = spark.createDataFrame([(0, "x"), (2, "y")], "scale long, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        named = catalog.dimension_names(rows, scales).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {f"v{k}": f"d{k % 2}" if k % 2 or k % 6 == 4 else {0: "x", 2: "y"}[k % 6] for k in range(4000)}
+    assert {r.variable: r.name for r in named} == want and len(named) == 4000
+    # they do not meet in the task of one key
+    assert len({r.task for r in named if r.axis == 1}) == 4
