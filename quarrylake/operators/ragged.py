@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import stored
 from .selection import div
 
 #: Rows of a range of two-level prefix sums, about; more beyond ``RANGES`` ranges.
@@ -44,8 +45,12 @@ def prefix_sum(df: DataFrame, order: str, size: Column, name: str, width: int =
 
 
 def encode(df: DataFrame, order: str, values: str, width: int = RANGE) -> DataFrame:
-    """Index rows (order, end): cumulative end offsets of each row's list."""
-    return prefix_sum(df.select(order, values), order, F.coalesce(F.size(values), F.lit(0)), "end", width).select(order, "end")
+    """Index rows (order, end): cumulative end offsets of each row's list.
+
+    The lists are read once; sizes and ends are stored, as several passes read them.
+    """
+    sizes = stored(df.select(order, F.coalesce(F.size(values), F.lit(0)).cast("long").alias("_size")))
+    return stored(prefix_sum(sizes, order, F.col("_size"), "end", width).select(order, "end"))
 
 
 def flatten(df: DataFrame, order: str, values: str) -> DataFrame:
@@ -53,9 +58,10 @@ def flatten(df: DataFrame, order: str, values: str) -> DataFrame:
     return df.select(order, F.posexplode(values).alias("pos", "value"))
 
 
-def flat_positions(df: DataFrame, order: str, values: str, width: int = RANGE) -> DataFrame:
-    """Flat rows (pos, value) numbered over the whole table."""
-    ends = prefix_sum(df, order, F.size(values), "end", width)
+def flat_positions(df: DataFrame, order: str, values: str, width: int = RANGE, index: DataFrame | None = None) -> DataFrame:
+    """Flat rows (pos, value) numbered over the whole table; the ``index`` of the same
+    rows by ``encode`` spares their prefix sums."""
+    ends = prefix_sum(df, order, F.size(values), "end", width) if index is None else df.join(index, order)
     rows = ends.select((F.col("end") - F.size(values)).alias("_start"), F.posexplode(values).alias("_p", "value"))
     return rows.select((F.col("_start") + F.col("_p")).alias("pos"), "value")
 
@@ -63,18 +69,38 @@ def flat_positions(df: DataFrame, order: str, values: str, width: int = RANGE) -
 def decode(index: DataFrame, flat: DataFrame, order: str, end: str = "end", width: int = 4096) -> DataFrame:
     """Lists (order, values) from end offsets and flat rows (pos, value).
 
-    A row's start is the previous row's end.  Both sides meet on position ranges, an
-    equi-join: a list is present in each range that it reaches into.
+    A row's start is the previous row's end.  The flat rows of a position range become
+    one array, and each list that reaches into the range takes its slice of it: an
+    equi-join of one row per list and range, whatever the lists' lengths.
     """
     previous = previous_value(index, order, end)
-    spans = previous.select(order, F.coalesce("_previous", F.lit(0)).alias("_s"), F.col(end).alias("_e"))
+    spans = previous.select(order, F.coalesce("_previous", F.lit(0)).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
+    held = F.coalesce(F.col("_e") > F.col("_s"), F.lit(False))
     reach = F.sequence(div(F.col("_s"), width), div(F.col("_e") - 1, width))
-    reached = spans.where("_e > _s").withColumn("_k", F.explode(reach))
-    rows = reached.join(flat.withColumn("_k", div(F.col("pos"), width)), "_k").where("pos >= _s and pos < _e")
-    lists = rows.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_v"))
-    lists = spans.select(order).join(lists, order, "left")
-    empty = F.transform(F.filter("_v", lambda x: F.lit(False)), lambda x: x["value"])
-    return lists.select(order, F.coalesce(F.transform("_v", lambda x: x["value"]), empty, F.array()).alias("values"))
+    reached = spans.where(held).withColumn("_k", F.explode(reach))
+    pieces = reached.join(_blocks(flat, width), "_k", "left").select(order, "_k", _slice().alias("_v"))
+    parts = F.sort_array(F.collect_list(F.struct("_k", "_v")))["_v"]
+    lists = pieces.groupBy(order).agg(F.flatten(F.filter(parts, lambda v: v.isNotNull())).alias("values"))
+    return lists.union(spans.where(~held).select(order, F.array().cast(lists.schema["values"].dataType)))
+
+
+def _blocks(flat: DataFrame, width: int) -> DataFrame:
+    """Flat rows by position range: ``_k``, the first position ``_f``, and either ``_x``, the
+    values of positions without gaps, or ``_y``, (pos, value) where some are missing or twice."""
+    rows = flat.where("pos is not null").select(div(F.col("pos"), width).alias("_k"), F.struct(F.col("pos").cast("long").alias("pos"), "value").alias("_v"))
+    rows = rows.groupBy("_k").agg(F.sort_array(F.collect_list("_v")).alias("_v"))
+    at = F.col("_v")["pos"]
+    first = F.element_at(at, 1)
+    whole = at == F.sequence(first, F.element_at(at, -1))
+    return rows.select("_k", first.alias("_f"), F.when(whole, F.col("_v")["value"]).alias("_x"), F.when(~whole, F.col("_v")).alias("_y"))
+
+
+def _slice() -> Column:
+    """The values of positions ``_s`` to ``_e`` (exclusive) in a range of ``_blocks``."""
+    begin = F.greatest(F.col("_s") - F.col("_f"), F.lit(0).cast("long"))
+    n = F.greatest(F.least(F.col("_e") - F.col("_f"), F.size("_x").cast("long")) - begin, F.lit(0).cast("long"))
+    some = F.filter("_y", lambda y: (y["pos"] >= F.col("_s")) & (y["pos"] < F.col("_e")))["value"]
+    return F.when(F.col("_x").isNotNull(), F.slice("_x", (begin + 1).cast("int"), n.cast("int"))).otherwise(some)
 
 
 def previous_value(df: DataFrame, order: str, value: str, width: int = RANGE) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once, as Parquet in the shared folder, for several passes over some of
+    its columns; removed when the session's process ends."""
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may already be gone at exit
+        return
+
+
 def follow(pointers: DataFrame, hops: int) -> DataFrame:
     """Where pointers lead: rows (key, at, hops) from ``pointers(key, to)``.
 

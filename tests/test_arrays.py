@@ -313,3 +313,25 @@ def test_axes_without_a_scale_are_not_joined(spark):
     assert {r.variable: r.name for r in named} == want and len(named) == 4000
     # they do not meet in the task of one key
     assert len({r.task for r in named if r.axis == 1}) == 4
+
+
+def test_decode_meets_no_pairs_within_a_range(spark):
+    df = spark.range(6000).selectExpr("id as k", "array(id, -id) as v")
+    index = ragged.encode(df, "k", "v")
+    back = ragged.decode(index, ragged.flat_positions(df, "k", "v", index=index), "k")
+    # joins have no condition besides their keys: no list meets all flat rows of its range
+    assert " pos#" not in "".join(x for x in back._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert sorted((r.k, r.values) for r in back.collect()) == [(k, [k, -k]) for k in range(6000)]
+
+
+def test_decode_of_broken_columns(spark):
+    """Gaps, repeated positions, ends that fall, lists beyond the flat rows."""
+    flat = [(0, 10), (1, 11), (1, 12), (3, 13), (4, None), (5, 15), (6, 16), (7, 17), (8, 18), (9, 19), (21, 20)]
+    ends = [(1, 2), (2, 2), (3, 7), (4, 5), (5, 9), (6, 12), (7, 20), (8, None), (9, 22)]
+    want, start = {}, 0
+    for k, e in ends:
+        want[k] = [v for p, v in flat if e is not None and start <= p < e]
+        start = e or 0
+    index, rows = spark.createDataFrame(ends, "k long, end long"), spark.createDataFrame(flat, "pos long, value long")
+    for width in (1, 3, 4, 4096):
+        assert {r.k: r.values for r in ragged.decode(index, rows, "k", width=width).collect()} == want
