@@ -12,6 +12,7 @@ from quarrylake import errors
 from quarrylake.functions import codecs, dtypes
 from quarrylake.operators import catalog, chunks, ragged, selection
 from quarrylake.operators.selection import ALL, NONE, Dim, Hyperslab, Points, select
+from quarrylake.plans import queries
 from quarrylake.sources import files, zarr
 
 dims = st.builds(Dim, st.integers(0, 6), st.integers(1, 5), st.integers(0, 5), st.integers(0, 4))
@@ -335,3 +336,11 @@ def test_decode_of_broken_columns(spark):
     index, rows = spark.createDataFrame(ends, "k long, end long"), spark.createDataFrame(flat, "pos long, value long")
     for width in (1, 3, 4, 4096):
         assert {r.k: r.values for r in ragged.decode(index, rows, "k", width=width).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["ragged_decode", "csc_to_coo"])
+def test_lists_are_read_once_and_sliced(spark, sf_dir, name):
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # the lists' table is in the plan once, and no list meets all flat rows of its range
+    assert sum("Relation [l_orderkey#" in x for x in plan) == 1
+    assert not [x for x in plan if "Join" in x and " pos#" in x]
