@@ -218,9 +218,10 @@ def csc_checks(spark, sf_dir):
 @query("SELECT l_orderkey * 10 AS id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS spikes FROM lineitem GROUP BY l_orderkey")
 def units_spikes(spark, sf_dir):
     lists = _order_lists(spark, sf_dir).withColumnRenamed("l_orderkey", "row")
-    flat, index = ragged.flat_positions(lists, "row", "parts"), ragged.encode(lists, "row", "parts")
-    units = recordings.units_table(flat, index, lists.select("row", (F.col("row") * 10).alias("id")))
-    return units.select("id", F.array_join(F.transform("spike_times", lambda x: x.cast("string")), ",").alias("spikes"))
+    index = ragged.encode(lists, "row", "parts")
+    flat = ragged.flat_positions(lists, "row", "parts", index=index)
+    units = recordings.units_table(flat, index, index.select("row", (F.col("row") * 10).alias("id")))
+    return units.select("id", F.array_join(F.col("spike_times").cast("array<string>"), ",").alias("spikes"))
 
 
 @query(
