@@ -231,12 +231,13 @@ def units_spikes(spark, sf_dir):
 def dynamic_table_rows(spark, sf_dir):
     lists = _order_lists(spark, sf_dir).withColumnRenamed("l_orderkey", "row")
     lists = lists.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row")), "row", "left_semi")
+    index = ragged.encode(lists, "row", "parts")
     columns = {
         "status": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_orderstatus").alias("value")),
-        "parts": ragged.flat_positions(lists, "row", "parts"),
+        "parts": ragged.flat_positions(lists, "row", "parts", index=index),
     }
-    rows = recordings.dynamic_table(columns, {"parts": ragged.encode(lists, "row", "parts")})
-    return rows.select("row", "status", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"))
+    rows = recordings.dynamic_table(columns, {"parts": index})
+    return rows.select("row", "status", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
 
 
 @query(

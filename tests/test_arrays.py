@@ -338,7 +338,7 @@ def test_decode_of_broken_columns(spark):
         assert {r.k: r.values for r in ragged.decode(index, rows, "k", width=width).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["ragged_decode", "csc_to_coo", "units_spikes"])
+@pytest.mark.parametrize("name", ["ragged_decode", "csc_to_coo", "units_spikes", "dynamic_table_rows"])
 def test_lists_are_read_once_and_sliced(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     # the lists' table is in the plan once, and no list meets all flat rows of its range
