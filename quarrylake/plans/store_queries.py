@@ -141,13 +141,17 @@ def codecs_one_by_one(spark, sf_dir):
 
     def there_and_back(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def once(name, raw):
+            steps = [{"name": "shuffle", "elementsize": 2}, {"name": name}, {"name": "fletcher32"}, {"name": "crc32c"}]
+            return codecs.apply(codecs.apply(raw, steps, True), steps, False, len(raw)).decode()
 
         for b in batches:
-            out = []
-            for name, raw in zip(b.column("codec").to_pylist(), b.column("data").to_pylist(), strict=True):
-                steps = [{"name": "shuffle", "elementsize": 2}, {"name": name}, {"name": "fletcher32"}, {"name": "crc32c"}]
-                out.append(codecs.apply(codecs.apply(raw, steps, True), steps, False, len(raw)).decode())
-            yield pa.RecordBatch.from_arrays([b.column("o_orderkey"), b.column("codec"), pa.array(out, pa.string())], ["o_orderkey", "codec", "text"])
+            for name in _CODECS:
+                own = b.filter(pc.equal(b.column("codec"), name))
+                text = codecs.each_distinct(own.column("data"), lambda raw, name=name: once(name, raw)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([own.column("o_orderkey"), own.column("codec"), text], ["o_orderkey", "codec", "text"])
 
     return rows.mapInArrow(there_and_back, "o_orderkey long, codec string, text string")
 
