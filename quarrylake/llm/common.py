@@ -62,6 +62,18 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Rows of an Arrow batch that a task turns into Python values at once.
+SLICE_ROWS = 256
+
+
+def slices(batches):
+    """All rows of Arrow batches in order, at most ``SLICE_ROWS`` at once: Python values of
+    texts, and what is made of them, take several times the batch's bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
+
+
 #: Keys that hold at least one in so many of all rows are taken as frequent.
 FREQUENT = 10_000
 

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -74,7 +76,7 @@ def _document_counts(batches):
     import pyarrow as pa
 
     total = np.zeros(BUCKETS, np.int64)
-    for b in batches:
+    for b in slices(batches):
         for t in b.column("text").to_pylist():
             total[gram_counts(t)[0]] += 1
     seen = np.flatnonzero(total)
@@ -85,7 +87,7 @@ def _features(batches):
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
+    for b in slices(batches):
         got = [gram_counts(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -192,15 +194,17 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict |
     return {"langs": names, "idf": idf, "used": used, "weights": w[used], "temperature": t}
 
 
-def _predict(batches, model):
+def _predict(batches, model, within=None):
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     w = np.zeros((BUCKETS, len(model["langs"])))
     w[model["used"]] = model["weights"]
-    for b in batches:
+    for b in slices(batches):
         names, scores = [], []
-        for t in b.column("text").to_pylist():
+        texts = b.column("text") if within is None else pc.struct_field(b.column(within), "text")
+        for t in texts.to_pylist():
             if not has_letter(t):
                 names.append(UNKNOWN)
                 scores.append(0.0)
@@ -217,13 +221,16 @@ def _predict(batches, model):
         )
 
 
-def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score; texts are read whole."""
+def predict(docs: DataFrame, model: dict | None, keep: list[str], within: str | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred and score; texts are read whole.  Texts are the
+    column ``text``, or that field of the kept struct ``within``, and so go to Python once.
+    """
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     # BUCKETS rows at most (zero rows left out), one column per language
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select("text", *keep).mapInArrow(lambda it: _predict(it, model), schema)
+    text = ["text"] if within is None else []
+    return docs.select(*text, *keep).mapInArrow(lambda it: _predict(it, model, within), schema)
 
 
 def held_out(doc_id: Column) -> Column:

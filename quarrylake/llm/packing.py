@@ -26,7 +26,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import slices, stage_table
 
 END = 0
 CAPACITY = 1024
@@ -98,7 +98,7 @@ def _pieces(batches, path, capacity, with_ids):
     import xxhash
 
     encode = _encoder(path)
-    for b in batches:
+    for b in slices(batches):
         out = []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             ids = np.array([*encode(text or ""), END], "<u4")

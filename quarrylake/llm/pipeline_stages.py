@@ -27,8 +27,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Language ID: documents without a letter or without a clear language go."""
     training = docs.where(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang")
     model = langid.fit(training)
-    rows = docs.select("text", F.struct(*docs.columns).alias("doc"))
-    scored = langid.predict(rows, model, ["doc"])
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    scored = langid.predict(rows, model, ["doc"], within="doc")
     if model is not None:
         scored = scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     else:

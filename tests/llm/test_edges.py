@@ -98,3 +98,21 @@ def test_packing_stage(spark, docs):
     rows = stages.pack_sequences(spark, docs, "").collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     assert not rows or sum(r.length for r in rows if r.doc_id == 2) == 1
+
+
+def test_tasks_hold_few_texts_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrylake.llm import common, langid
+
+    texts = [None if k % 7 == 0 else f"text {k} " * (k % 5) for k in range(1000)]
+    doc = pa.array([{"doc_id": k, "text": t} for k, t in enumerate(texts)])
+    model = {"langs": ["a", "b"], "idf": np.ones(langid.BUCKETS), "used": np.arange(50), "weights": np.ones((50, 2)) * [[1, 2]], "temperature": 1.0}
+    batches = [pa.RecordBatch.from_arrays([doc], ["doc"]), pa.RecordBatch.from_arrays([doc[:0]], ["doc"])]
+    found = list(langid._predict(batches, model, "doc"))
+    assert max(b.num_rows for b in found) <= common.SLICE_ROWS
+    assert [r for b in found for r in b.column("doc").to_pylist()] == doc.to_pylist()
+    beside = pa.RecordBatch.from_arrays([pa.array(texts), doc], ["text", "doc"])
+    assert pa.Table.from_batches(found) == pa.Table.from_batches(langid._predict([beside], model))
+    assert found[0].column("lang_pred").to_pylist()[0] == langid.UNKNOWN
